@@ -11,9 +11,12 @@ empty result. Columns other than the id and the text are ignored, so clashing na
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -45,21 +48,45 @@ class WordTokenizer:
     """Byte-level BPE ids of whole texts, with a bounded cache of words.
 
     The vocabulary's pre-tokeniser always breaks before a single blank that stands between two other characters,
-    and on both sides of a lone line break, so a text's ids are those of its words put together. A text with
-    other white space is encoded in one piece.
+    on both sides of a lone line break, and between letters and the marks after them. So a text's ids are those of
+    its words put together, and a word of letters alone goes straight to the BPE model. A text with other white
+    space is encoded in one piece.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.limit, self.cache = cache_words, {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
+    def _letters(self, word: str) -> bytes:
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+
+    def _learn(self, words: set[str]) -> None:
+        cache, rest = self.cache, []
+        for w in words:
+            stem = w.rstrip(".,")
+            if (stem[1:] if stem[:1] == " " else stem).isalpha():
+                tail = w[len(stem) :]
+                if tail and tail not in cache:
+                    cache[tail] = self._bytes([tail])[0]
+                if stem not in cache:
+                    cache[stem] = self._letters(stem)
+                if tail:
+                    cache[w] = cache[stem] + cache[tail]
+            else:
+                rest.append(w)
+        cache.update(zip(rest, self._bytes(rest), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut, whole = [], []
@@ -68,11 +95,10 @@ class WordTokenizer:
                 cut.append((i, t.replace("\n", " \n ").replace(" ", "\x00 ").replace("\x00 \n\x00 ", "\x00\n\x00").split("\x00")))
             else:
                 whole.append(i)
-        if len(self.cache) > self.limit:
-            self.cache = {}
+        if len(self.cache) > self.limit:  # the words met first are mostly the common ones
+            self.cache = dict(islice(self.cache.items(), self.limit // 2))
         cache = self.cache
-        missing = list({w for _, ws in cut for w in ws if w not in cache})
-        cache.update(zip(missing, self._bytes(missing), strict=True))
+        self._learn({w for _, ws in cut for w in ws if w not in cache})
         out: list[bytes] = [b""] * len(texts)
         for i, ws in cut:
             out[i] = b"".join([cache[w] for w in ws])
@@ -81,6 +107,19 @@ class WordTokenizer:
         return out
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter of each byte in byte-level BPE: itself where it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, kept over its tasks."""
+    return WordTokenizer(path)
+
+
 def _plain(text: str) -> bool:
     """Whether blanks and line breaks stand alone between other characters and no other white space occurs."""
     parts = text.split()
@@ -99,13 +138,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, sepa
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(tokenizer_path)
+        tok = worker_tokenizer(tokenizer_path)
         end = np.array([separator], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for lo in range(0, len(ids), 500):
+            for lo in range(0, len(ids), 200):
                 rows = []
-                for doc, data in zip(ids[lo : lo + 500], tok.encode(texts[lo : lo + 500]), strict=True):
+                for doc, data in zip(ids[lo : lo + 200], tok.encode(texts[lo : lo + 200]), strict=True):
                     data += end
                     rows += [(doc, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_points(len(data) // 4, size))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
