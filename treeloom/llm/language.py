@@ -248,3 +248,24 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, struct(doc_id=LONG, lang_pred=STR, score=DBL))
     return got.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, net: Network | None, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, unchanged, whose text has a letter and whose likeliest language has at least least_score."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 250):
+                part = batch.slice(lo, 250)
+                texts = part.column(at).to_pylist()
+                sure = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
+                if sure and model:
+                    p = model.documents([encode(texts[i]) for i in sure]).max(axis=1)
+                    sure = [i for i, s in zip(sure, p, strict=True) if s >= least_score]
+                if sure:
+                    yield part.take(pa.array(sure, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)

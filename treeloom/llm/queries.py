@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, neighbours, ngram_join, packing, pii, substring_dedup, suffix_dedup, toxicity
+from . import fingerprints, language, neighbours, ngram_join, packing, pieces, pii, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -48,5 +52,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_nearest_neighbours, op4_ngram_join, op5_personal_data, op6_suffix_dedup, op7_substring_dedup, op8_fingerprints, op9_language, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_nearest_neighbours, op4_ngram_join, op5_personal_data, op6_suffix_dedup, op7_substring_dedup, op8_fingerprints, op9_language, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}

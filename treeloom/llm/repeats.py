@@ -224,10 +224,11 @@ def with_spans(docs: DataFrame, texts: DataFrame, spans: DataFrame) -> DataFrame
     return docs.join(per_row, ["doc_id", "d"], "left")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, d; a null id counts as larger than any other, a null text as empty."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, rest: list[str] = ()) -> DataFrame:
+    """doc_id, text, d and the columns of rest as one struct; a null id counts as larger than any other, a null text as empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("d"))
+    more = [F.struct(*rest).alias("rest")] if rest else []
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("d"), *more)
 
 
 def covered(n: int, spans: list, window: int) -> np.ndarray:

@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LONG, STR, struct
 from .repeats import NO_ID, Windows, covered, keyed, repeats, text_words_kept, with_spans, word_codes
@@ -106,29 +107,62 @@ def shard_matcher(window: int):
 OUT = struct(doc_id=LONG, n_words=LONG, n_removed=LONG, kept=STR)
 
 
-def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the remaining words, joined by blanks) of every row."""
+def _removals(docs: DataFrame, length: int, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
+    """doc_id, text, doc, spans and the columns of rest, as rest.*, of every row."""
     reach = max(1, length * 7 // 10)
     w = Windows(length, reach, max(1, min(3, length - reach)), word_codes)
-    rows = keyed(docs, id_col, text_col)
-    texts, spans = repeats(rows, w, True, shard_matcher(length), lambda t: np.frombuffer(t, np.uint64), word_codes)
+    rows = keyed(docs, id_col, text_col, rest)
+    texts, spans = repeats(rows.select("doc_id", "text", "d"), w, True, shard_matcher(length), lambda t: np.frombuffer(t, np.uint64), word_codes)
+    return with_spans(rows, texts, spans)
+
+
+def kept_words(doc: int, text: str, first: int | None, spans: list | None, length: int) -> tuple[int, list[bytes]]:
+    """How many words a text has, and those that stay. first: the smallest id with this text, if several rows have it."""
+    ws = text_words_kept(text)
+    n = len(ws)
+    if first is not None and first < doc and n >= length:
+        return n, []
+    if spans:
+        gone = covered(n, spans, length)
+        return n, [x for x, g in zip(ws, gone, strict=True) if not g]
+    return n, ws
+
+
+def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed and kept (the remaining words, joined by blanks) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 out = []
                 for doc, text, first, spans in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns), strict=True):
-                    ws = text_words_kept(text)
-                    n = len(ws)
-                    if first is not None and first < doc and n >= length:
-                        ws = []
-                    elif spans:
-                        gone = covered(n, spans, length)
-                        ws = [x for x, g in zip(ws, gone, strict=True) if not g]
+                    n, ws = kept_words(doc, text, first, spans, length)
                     out.append((None if doc == NO_ID else doc, n, n - len(ws), b" ".join(ws).decode("utf-8", "surrogatepass")))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)], names=OUT.names)
 
-    return with_spans(rows, texts, spans).select("doc_id", "text", "doc", "spans").mapInArrow(run, OUT)
+    return _removals(docs, length, id_col, text_col, []).select("doc_id", "text", "doc", "spans").mapInArrow(run, OUT)
+
+
+def clean(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without the repeated words. A text that loses none keeps its white space; one that loses all goes."""
+    rest = [c for c in docs.columns if c != text_col]
+    rows = _removals(docs, length, id_col, text_col, rest).select("doc_id", "text", "doc", "spans", "rest")
+    out = T.StructType([T.StructField("text", STR), rows.schema["rest"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part, texts, stay = batch.slice(lo, 200), [], []
+                for i, (doc, text, first, spans) in enumerate(zip(*(c.to_pylist() for c in part.columns[:4]), strict=True)):
+                    n, ws = kept_words(doc, text, first, spans, length)
+                    if len(ws) == n or ws:
+                        stay.append(i)
+                        texts.append(text if len(ws) == n else b" ".join(ws).decode("utf-8", "surrogatepass"))
+                if stay:
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(4).take(pa.array(stay, pa.int64()))], names=["text", "rest"])
+
+    got = rows.mapInArrow(run, out)
+    return got.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, length: int = 50) -> DataFrame:
