@@ -27,11 +27,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return root
 
 
+#: Spark's own switch for removing a finished query's shuffle files; nothing reads them again once its rows are a table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df to the shared scratch folder and reads it back: cuts lineage, survives lost executors, frees its shuffles."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/treeloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

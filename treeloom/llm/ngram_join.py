@@ -53,7 +53,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_word_hash: dict[bytes, int] = {}
+class WordHashes(dict):
+    """Hashes of words, remembered; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hash_of = WordHashes()
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -61,15 +69,9 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     ws = text_words(text)
     if not ws:
         return np.empty(0, np.uint64)
-    if len(_word_hash) > 400_000:
-        _word_hash.clear()
-    get, h = _word_hash.get, []
-    for w in ws:
-        x = get(w)
-        if x is None:
-            x = _word_hash[w] = xxhash.xxh3_64_intdigest(w)
-        h.append(x)
-    h = np.array(h, dtype=np.uint64)
+    if len(_hash_of) > 400_000:
+        _hash_of.clear()
+    h = np.fromiter(map(_hash_of.__getitem__, ws), np.uint64, len(ws))
     n = max(1, len(h) - words + 1)
     out = np.full(n, min(len(h), words), dtype=np.uint64)
     for k in range(min(words, len(h))):
@@ -210,9 +212,10 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id"
     equal = materialize(some.groupBy("key").agg(F.min("doc_id").alias("id")), "equal")
     # the set of the smallest id stands for all equal sets; a repeated id counts once
     first = some.join(equal, (some.key == equal.key) & (some.doc_id == equal.id), "left_semi").dropDuplicates(["doc_id"])
-    tokens = first.select(F.col("doc_id").alias("id"), "n", "l", F.explode("prefix").alias("token"))
+    tokens = first.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token"))
     shared = materialize(tokens.groupBy("token").agg(F.min("id").alias("hub"), F.count("*").alias("c")).filter("c > 1"), "shared")
-    found = materialize(tokens.join(shared, "token").select("token", "id", "n", "l", "hub"), "found")
+    found = materialize(tokens.join(shared, "token").select("token", "id", "hub"), "found")
+    sizes = first.select(F.col("doc_id").alias("id"), "n", "l")
 
     sets = materialize(sets_of(docs, found.select("id").distinct(), like), "sets").dropDuplicates(["id"])
     near = found.filter("hub < id").groupBy("id", "hub").agg(F.count("*").alias("c"))
@@ -220,10 +223,10 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id"
     edges = materialize(verified(star, sets, like), "edges")
     group = components(edges)
 
-    placed = found.join(group, "id", "left").select("token", "id", "n", "l", F.coalesce("component", "id").alias("component"))
+    placed = found.join(group, "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
     placed = materialize(placed, "placed")
     apart = materialize(placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token"), "apart")
-    rest = placed.join(apart, "token", "left_semi")
+    rest = materialize(placed.join(apart, "token", "left_semi").join(sizes, "id"), "rest")
     x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "l", "component")]) for s in "ab")
     pairs = x.join(y, "token").filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")))
     pairs = pairs.filter(100 * F.least("n_a", "n_b") >= like.percent * F.greatest("n_a", "n_b"))

@@ -22,12 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BIN, INT, LONG, materialize, shuffle_partitions, struct
-from .ngram_join import mix
+from .ngram_join import WordHashes, mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -244,5 +243,11 @@ def text_words_kept(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+_hash_of = WordHashes()
+
+
 def word_codes(text: str | None) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(x) for x in text_words_kept(text)], dtype=np.uint64)
+    ws = text_words_kept(text)
+    if len(_hash_of) > 400_000:
+        _hash_of.clear()
+    return np.fromiter(map(_hash_of.__getitem__, ws), np.uint64, len(ws))
