@@ -73,7 +73,7 @@ def _matrix(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _whole(pairs: DataFrame, kernel, schema: str) -> DataFrame:
-    return pairs.select("a_id", "b_id", "dist").groupBy(F.lit(0)).applyInPandas(lambda frame: kernel(*_matrix(frame)), schema)
+    return pairs.select("a_id", "b_id", "dist", F.lit(0).alias("all")).groupBy("all").applyInPandas(lambda frame: kernel(*_matrix(frame)), schema)
 
 
 def linkage_merges(d: np.ndarray, method: str) -> list[tuple[int, int, float, int]]:

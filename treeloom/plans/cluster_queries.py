@@ -100,7 +100,7 @@ def html_tree_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- clusterings
 
-EPS = 0.24
+EPS = 0.11
 _M = N.matrix_cte()
 
 
@@ -124,9 +124,9 @@ def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.dbscan(_ids(spark, sf_dir), matrix(spark, sf_dir), EPS, 3)
 
 
-@query(_M + " SELECT round(e * 0.02::DOUBLE, 2) eps, count(*) links, count(DISTINCT a_id) linked FROM m JOIN range(5, 20) g(e) ON dist <= round(e * 0.02::DOUBLE, 2) GROUP BY 1")
+@query(_M + " SELECT round(e * 0.01::DOUBLE, 2) eps, count(*) links, count(DISTINCT a_id) linked FROM m JOIN range(6, 22) g(e) ON dist <= round(e * 0.01::DOUBLE, 2) GROUP BY 1")
 def eps_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(5, 20).select(F.round(F.col("id") * 0.02, 2).alias("eps"))
+    grid = spark.range(6, 22).select(F.round(F.col("id") * 0.01, 2).alias("eps"))
     return matrix(spark, sf_dir).join(F.broadcast(grid), F.col("dist") <= F.col("eps")).groupBy("eps").agg(F.count("*").alias("links"), F.countDistinct("a_id").alias("linked"))
 
 

@@ -102,14 +102,14 @@ def dft_amplitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- text and numbers
 
 
-@query("""WITH t AS (SELECT o_orderkey, '$' || o_orderkey || ',250.5 ' || CASE o_orderstatus WHEN 'F' THEN 'million' WHEN 'O' THEN 'trillion' ELSE 'billion' END || ' (' || (o_custkey % 90 + 1) || 'th) in ' || strftime(o_orderdate, '%Y') s FROM orders)
+@query("""WITH t AS (SELECT o_orderkey, '$' || o_orderkey || ',250.25 ' || CASE o_orderstatus WHEN 'F' THEN 'million' WHEN 'O' THEN 'trillion' ELSE 'billion' END || ' (' || (o_custkey % 90 + 1) || 'th) in ' || strftime(o_orderdate, '%Y') s FROM orders)
  SELECT o_orderkey, try_cast(regexp_extract(replace(s, ',', ''), '([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) first_number,
  round(try_cast(regexp_extract(replace(s, ',', ''), '([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) * CASE WHEN s LIKE '%trillion%' THEN 1000 ELSE 1 END / CASE WHEN s LIKE '%million%' THEN 1000 ELSE 1 END, 3) billions,
  try_cast(regexp_extract(s, '\\(([0-9]+)(?:st|nd|rd|th)\\)', 1) AS BIGINT) world_rank, try_cast(regexp_extract(s, ' in ([0-9]{4})$', 1) AS INT) AS "year" FROM t""")
 def text_number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     unit = F.when(F.col("o_orderstatus") == "F", "million").when(F.col("o_orderstatus") == "O", "trillion").otherwise("billion")
-    s = F.concat(F.lit("$"), F.col("o_orderkey"), F.lit(",250.5 "), unit, F.lit(" ("), F.col("o_custkey") % 90 + 1, F.lit("th) in "), F.date_format("o_orderdate", "yyyy"))
+    s = F.concat(F.lit("$"), F.col("o_orderkey"), F.lit(",250.25 "), unit, F.lit(" ("), F.col("o_custkey") % 90 + 1, F.lit("th) in "), F.date_format("o_orderdate", "yyyy"))
     t = o.select("o_orderkey", s.alias("s"))
     return t.select("o_orderkey", X.first_number(F.col("s")).alias("first_number"), X.billions(F.col("s")).alias("billions"), X.world_rank(F.col("s")).alias("world_rank"), X.year_of(F.regexp_extract("s", " in .*$", 0)).alias("year"))
 
