@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
 from .graph import components
 
 MATRIX_ROWS = 3000
@@ -59,7 +60,7 @@ def medoids_of(pairs: DataFrame, assigned: DataFrame, label: str = "medoid") ->
 def kmedoids_from(pairs: DataFrame, medoids: DataFrame, rounds: int) -> DataFrame:
     """Alternating assignment and update from given medoids, for a fixed number of rounds."""
     for _ in range(rounds):
-        medoids = medoids_of(pairs, nearest_medoid(pairs, medoids)).select("id")
+        medoids = saved(medoids_of(pairs, saved(nearest_medoid(pairs, medoids), "assigned")).select("id"), "medoids")
     return nearest_medoid(pairs, medoids)
 
 

@@ -9,9 +9,10 @@ from ..operators import cluster as C
 from ..operators import diff as D
 from ..operators import evaluate as E
 from ..operators import trees as T
+from ..sources.scratch import saved
 from . import profiles as N
 from .profiles import table
-from .tree_queries import matrix
+from .tree_queries import matrix as _matrix
 
 QUERIES, SQL = {}, {}
 
@@ -26,6 +27,11 @@ def query(sql: str | None = None):
     return register
 
 
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance matrix as a table: the clusterings read it several times."""
+    return saved(_matrix(spark, sf_dir), "matrix")
+
+
 def _leaf_rows(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
     """Orders as documents of leaf rows; pair k compares order k with the next one."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("m"))
