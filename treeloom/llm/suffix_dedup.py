@@ -34,8 +34,7 @@ def byte_codes(text: str | None) -> np.ndarray:
 def multikey_sort(keys: np.ndarray) -> np.ndarray:
     """Order of the rows of keys (n, depth): ternary partition by one key a step, until no run is tied."""
     n, depth = keys.shape
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    tied = order
+    order, group, tied = np.arange(n), np.zeros(n, np.int64), np.arange(n)
     for k in range(depth):
         if len(tied) < 2:
             break
