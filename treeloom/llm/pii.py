@@ -38,7 +38,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", "", True, 0.7, r"card|visa|credit|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.7, r"tel|phone|call|fax|mobile"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", False, 0.8, r"iban|bank|account|konto"),
-    Kind("local_phone", r"(?<![0-9+).-]|\+[0-9]\x20|[0-9]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])", "", False, 0.4, r"tel|phone|call|fax|mobile"),
+    Kind("local_phone", r"(?<![0-9+().-])(?<![0-9]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])", "", False, 0.4, r"tel|phone|call|fax|mobile"),
 )
 BASE = [k.name for k in KINDS if k.base]
 
