@@ -223,7 +223,7 @@ def fit(docs: DataFrame, per_class: int = 250, **options) -> Network | None:
     """Trains on the bounded sample; None if there is nothing to learn from."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     rows = training_sample(known, "lang", "doc_id", per_class).collect()
-    rows = sorted(((r.doc_id, r.text, r.lang) for r in rows if any(c.isalpha() for c in r.text)), key=lambda r: r[0])
+    rows = sorted(((r.doc_id, r.text, r.lang) for r in rows if any(c.isalpha() for c in r.text)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     return train([encode(t) for _, t, _ in rows], [lang for _, _, lang in rows], **options) if rows else None
 
 
