@@ -11,11 +11,11 @@ from ..operators.ted import Leaf, distance
 
 
 def keep_pairs(arrivals: DataFrame, known: Callable[[], DataFrame], leaves: tuple[Leaf, ...], out: str, checkpoint: str) -> StreamingQuery:
-    """For each batch of (id, doc): its distances to all known documents with a smaller id, appended to a table."""
+    """For each batch of (id, doc): its distances to all known documents with a smaller id, in one folder a batch, which a retry replaces."""
 
     def append(batch: DataFrame, number: int) -> None:
         a = known().selectExpr("id as a_id", "doc as a")
         b = batch.selectExpr("id as b_id", "doc as b")
-        a.join(b, a.a_id < b.b_id).select("a_id", "b_id", distance(leaves).alias("d")).write.mode("append").parquet(out)
+        a.join(b, a.a_id < b.b_id).select("a_id", "b_id", distance(leaves).alias("d")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return arrivals.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
