@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BIN, INT, LONG, materialize, shuffle_partitions, struct
 from .ngram_join import WordHashes, mix
@@ -132,8 +133,10 @@ def span_rows(docs: DataFrame, w: Windows) -> DataFrame:
 FIRST, LAST = "shiftright(place, 20)", "shiftright(place, 20) + (shiftright(place, 10) & 1023) - 1"
 
 CONTEXT = struct(core=LONG, full=LONG, d=LONG, doc=LONG, start=LONG, count=LONG, off=LONG, known=INT, lead=BIN, tokens=BIN)
-#: kind 0: windows first .. last of a text are repeats; kind 1: a window's hash, for comparison across buckets
-FOUND = struct(kind=INT, d=LONG, doc=LONG, first=LONG, last=LONG, hash=LONG)
+#: kind 0: windows first .. last of a text are repeats; kind 1: a band of windows from first on, for comparison across
+#: buckets: hash is that of what its windows share, cells are their own, bits of asked tell which are still open
+FOUND = struct(kind=INT, d=LONG, doc=LONG, first=LONG, last=LONG, hash=LONG, asked=LONG, cells=T.ArrayType(LONG))
+BAND = 8
 
 #: (frame of one bucket, sorted by lead, core, doc) -> repeat flags of each row's windows
 Matcher = Callable[[pd.DataFrame], list[np.ndarray]]
@@ -189,28 +192,40 @@ def repeats(docs: DataFrame, w: Windows, earlier: bool, matcher: Matcher, to_cod
         if not frames:
             return
         frame = pd.concat(frames).drop_duplicates(["core", "full"]).sort_values(["lead", "core", "doc", "full"], kind="stable").reset_index(drop=True)
-        out = []
-        for flags, d, start, done in zip(matcher(frame), frame["d"], frame["start"], frame["known"], strict=True):
+        flags, out = matcher(frame), []
+        for own, d, start, done in zip(flags, frame["d"], frame["start"], frame["known"], strict=True):
             if not done:
-                out += [(0, d, 0, start + a, start + b, 0) for a, b in intervals(flags)]
-        if out:
-            yield pd.DataFrame(out, columns=FOUND.names)
+                out += [(0, d, 0, start + a, start + b, 0, 0, []) for a, b in intervals(own)]
         # cores at the bucket's edges may go on in the next one
-        edge = frame[frame["core"].isin([frame["core"].iloc[0], frame["core"].iloc[-1]])]
-        for lo in range(0, len(edge), 500):
-            part = edge.iloc[lo : lo + 500]
-            n = part["count"].to_numpy()
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            codes = [to_codes(x) for x in part["tokens"]]
-            at = k + np.repeat(np.cumsum([0] + [len(c) for c in codes[:-1]]), n)
-            hashes = Hashes(np.concatenate(codes)).of(at, at + w.window).view(np.int64)
-            yield pd.DataFrame({"kind": 1, "d": np.repeat(part["d"].to_numpy(), n), "doc": np.repeat(part["doc"].to_numpy(), n), "first": np.repeat(part["start"].to_numpy(), n) + k, "last": np.repeat(part["known"].to_numpy(), n).astype(np.int64), "hash": hashes})
+        edge = frame.index[frame["core"].isin([frame["core"].iloc[0], frame["core"].iloc[-1]])]
+        met: set[tuple] = set()
+        for r in edge:
+            row = frame.loc[r]
+            h, k = Hashes(to_codes(row["tokens"])), np.arange(row["count"])
+            cells = h.of(k, k + w.window).view(np.int64)
+            open_ = np.zeros(len(k), bool) if row["known"] else ~flags[r]
+            band = (row["off"] - k) // BAND  # bands are counted from the anchor, so they are the same in equal texts
+            cut = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(k)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                own = cells[lo:hi].tolist()
+                if not open_[lo:hi].any():  # nothing to ask: one of each is enough to answer others
+                    if (key := tuple(own)) in met:
+                        continue
+                    met.add(key)
+                at = np.array([row["off"] - int(band[lo]) * BAND])
+                shared = mix(h.of(at, at + w.window - BAND + 1) + band[lo : lo + 1].astype(np.uint64) * BASE)
+                out.append((1, row["d"], row["doc"], row["start"] + lo, 0, int(shared.view(np.int64)[0]), int((open_[lo:hi] << np.arange(hi - lo)).sum()), own))
+        for lo in range(0, len(out), 20_000):
+            yield pd.DataFrame(out[lo : lo + 20_000], columns=FOUND.names)
 
     found = materialize(contexts.repartitionByRange(int(parts), "lead", "core", "full").mapInPandas(match, FOUND), "matches")
-    edge = found.filter("kind = 1")
     where = F.col("doc") if earlier else F.xxhash64("d", "first")
-    same = materialize(edge.groupBy("hash").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi"), "edges")
-    over = edge.filter("last = 0").join(same, "hash").filter(F.col("doc") > F.col("lo") if earlier else F.lit(True))
+    edge = found.filter("kind = 1")
+    bands = materialize(edge.groupBy("hash").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi").select("hash"), "bands")
+    both = edge.join(bands, "hash").select("d", "doc", "first", "asked", F.posexplode("cells").alias("pos", "cell"))
+    both = materialize(both.select("d", "doc", "cell", (F.col("first") + F.col("pos")).alias("first"), F.expr("shiftright(asked, pos) & 1").alias("asked")), "windows")
+    same = materialize(both.groupBy("cell").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi"), "edges")
+    over = both.filter("asked = 1").join(same, "cell").filter(F.col("doc") > F.col("lo") if earlier else F.lit(True))
     every = whole.unionByName(found.filter("kind = 0").select("d", "first", "last")).unionByName(over.select("d", "first", F.col("first").alias("last")))
     return texts, every.groupBy("d").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
