@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, neighbours, ngram_join, packing, pieces, pii, substring_dedup, suffix_dedup, toxicity
+from . import fingerprints, language, neighbours, ngram_join, oracles, packing, pieces, pii, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -53,4 +53,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_nearest_neighbours, op4_ngram_join, op5_personal_data, op6_suffix_dedup, op7_substring_dedup, op8_fingerprints, op9_language, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_ngram_join": oracles.NGRAM_JOIN, "op7_substring_dedup": oracles.SUBSTRING_DEDUP}
