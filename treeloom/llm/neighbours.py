@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BIN, INT, LONG, materialize, shuffle_partitions, struct
+from .common import BIN, LONG, materialize, struct
 
 PACKED = struct(block=LONG, a=BIN, b=BIN, s=BIN)  # node, neighbour, score
 ASKED = struct(block=LONG, q=BIN, w=BIN, uq=BIN, uv=BIN)
@@ -266,7 +266,6 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, blocks: int,
 
 def nearest(vectors: DataFrame, query: F.Column, k: int = 20, g: Graph = Graph(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which query (on vec_id) holds."""
-    spark = vectors.sparkSession
     rows = materialize(nodes_of(vectors, id_col, vector_col), "vectors")
     same = materialize(rows.groupBy("vector").agg(F.min("vec_id").alias("id")), "same")
     member = materialize(rows.join(same, "vector").select("id", "vec_id"), "member")
@@ -274,7 +273,7 @@ def nearest(vectors: DataFrame, query: F.Column, k: int = 20, g: Graph = Graph()
     n = same.count()
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    blocks = max(shuffle_partitions(spark), -(-n // 4000))
+    blocks = max(16, -(-n // 3000))  # of some thousand nodes each: few enough for full arrays, many enough to spread
     length = float(np.sqrt(largest))
 
     def to_half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
