@@ -204,6 +204,14 @@ def sets_of(docs: DataFrame, ids: DataFrame, like: Likeness) -> DataFrame:
     return docs.join(ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text").mapInArrow(run, struct(id=LONG, cells=BIN))
 
 
+def checked(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
+    """The alike ones of pairs, a table; only documents in a pair are read again and cut into sets."""
+    if pairs.isEmpty():
+        return pairs
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return materialize(verified(pairs, materialize(sets_of(docs, ids, like), "sets"), like), "edges")
+
+
 def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -215,12 +223,13 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id"
     tokens = first.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token"))
     shared = materialize(tokens.groupBy("token").agg(F.min("id").alias("hub"), F.count("*").alias("c")).filter("c > 1"), "shared")
     found = materialize(tokens.join(shared, "token").select("token", "id", "hub"), "found")
-    sizes = first.select(F.col("doc_id").alias("id"), "n", "l")
+    sizes = first.select(F.col("doc_id").alias("id"), "n", "l", F.size("prefix").alias("p"))
 
-    sets = materialize(sets_of(docs, found.select("id").distinct(), like), "sets").dropDuplicates(["id"])
+    # an earlier set that shares a third of the prefix is worth a look now; others wait for the second step
     near = found.filter("hub < id").groupBy("id", "hub").agg(F.count("*").alias("c"))
-    star = near.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    edges = materialize(verified(star, sets, like), "edges")
+    best = near.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"), F.max("c").alias("c"))
+    star = best.join(sizes, "id").filter("3 * c >= p").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    edges = checked(docs, materialize(star, "star"), like)
     group = components(edges)
 
     placed = found.join(group, "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
@@ -231,7 +240,7 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id"
     pairs = x.join(y, "token").filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")))
     pairs = pairs.filter(100 * F.least("n_a", "n_b") >= like.percent * F.greatest("n_a", "n_b"))
     pairs = pairs.groupBy("id_a", "id_b").agg(F.count("*").alias("c"), F.first(F.least("l_a", "l_b")).alias("l")).filter("c >= l")
-    more = materialize(verified(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), sets, like), "edges")
+    more = checked(docs, materialize(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "pairs"), like)
     if not more.isEmpty():
         group = components(edges.unionByName(more))
 
