@@ -208,6 +208,37 @@ def test_substring_dedup(docs, none, length):
     assert cleaned.columns == docs.columns and cleaned.count() <= len(ROWS)
 
 
+@pytest.mark.parametrize("partitions", [3, 60])
+def test_substring_dedup_at_every_place(spark, partitions):
+    rng = random.Random(8)
+    say = lambda n: rng.choices(range(10**6), k=n)
+    rows, passages = [], [say(n) for n in (120, 60, 90)]
+    for i, passage in enumerate(passages):
+        changed = [*passage]
+        changed[len(changed) // 2] = -1
+        block = [*say(30), *passage, *say(40)]
+        rows += [(10 * i, say(30) + passage + say(30)), (10 * i + 1, block + say(10) + block), (10 * i + 2, block * 3), (10 * i + 3, changed + say(5) + changed)]
+    rows += [(7, say(20) + passages[0][:80] + say(20)), (7, say(9) + passages[0][:80] * 2), (None, say(4) + passages[1] * 2), (None, say(4) + passages[1] + say(2))]
+    data, first = [(i, [str(x).encode() for x in w]) for i, w in rows], {}
+    for i, w in data:
+        for k in range(len(w) - 49):
+            first[tuple(w[k : k + 50])] = min(first.get(tuple(w[k : k + 50]), 1 << 62), 1 << 62 if i is None else i)
+    want = Counter()
+    for i, w in data:
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < (1 << 62 if i is None else i):
+                gone[k : k + 50] = True
+        want[i, len(w), int(gone.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()] += 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        df = spark.createDataFrame([(i, b" ".join(w).decode()) for i, w in data], "doc_id long, text string")
+        assert Counter(tuple(r) for r in substring_dedup.digest(df).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_automaton_statistics():
     rng = random.Random(4)
     for _ in range(30):

@@ -10,6 +10,7 @@ anchor share the `window - reach + 1` tokens after it, its core.
 3. Of the rest, one of each is taken with its tokens into buckets by range of its leading tokens, where a matcher
    compares the windows. A core that reaches over the edge of a bucket, as a frequent one may, is compared once more
    across buckets by hashes of its windows, combined before they are shuffled.
+4. What is found of a span counts at all its places in the text of the smallest id, not only at the one that was taken.
 
 Texts are identified by a 64-bit hash and their length; equal texts go through once for each task.
 """
@@ -134,8 +135,9 @@ FIRST, LAST = "shiftright(place, 20)", "shiftright(place, 20) + (shiftright(plac
 
 CONTEXT = struct(core=LONG, full=LONG, d=LONG, doc=LONG, start=LONG, count=LONG, off=LONG, known=INT, lead=BIN, tokens=BIN)
 #: kind 0: windows first .. last of a text are repeats; kind 1: a band of windows from first on, for comparison across
-#: buckets: hash is that of what its windows share, cells are their own, bits of asked tell which are still open
-FOUND = struct(kind=INT, d=LONG, doc=LONG, first=LONG, last=LONG, hash=LONG, asked=LONG, cells=T.ArrayType(LONG))
+#: buckets: hash is that of what its windows share, cells are their own, bits of asked tell which are still open.
+#: start is that of the span they are in
+FOUND = struct(kind=INT, d=LONG, doc=LONG, start=LONG, first=LONG, last=LONG, hash=LONG, asked=LONG, cells=T.ArrayType(LONG))
 BAND = 8
 
 #: (frame of one bucket, sorted by lead, core, doc) -> repeat flags of each row's windows
@@ -147,6 +149,16 @@ def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
+def other_places(spans: DataFrame, several: DataFrame) -> DataFrame:
+    """Where a span with something to ask stands again in texts of its smallest id: d, start of the place that is asked about; to, shift of the other."""
+    often = several.filter("known = 0 and lo <> hi").select("core", "full", "least")
+    places = materialize(spans.join(often, ["core", "full"]).filter("doc = least").select("core", "full", "d", "place"), "places")
+    taken = places.groupBy("core", "full").agg(F.min(F.struct("d", "place")).alias("s"), F.count("*").alias("n")).filter("n > 1")
+    more = places.join(taken.select("core", "full", "s"), ["core", "full"]).filter("d <> s.d or place <> s.place")
+    start = F.expr("shiftright(s.place, 20)")
+    return materialize(more.select(F.col("s.d").alias("d"), start.alias("start"), F.col("d").alias("to"), (F.expr("shiftright(place, 20)") - start).alias("shift")), "places")
+
+
 def repeats(docs: DataFrame, w: Windows, earlier: bool, matcher: Matcher, to_codes: Callable[[bytes], np.ndarray], raw: Callable[[str | None], np.ndarray], part_rows: int = 12_000) -> tuple[DataFrame, DataFrame]:
     """Texts (d, doc, copies) and their spans: (d, spans: array of (first, last) repeated window starts) where there are any.
 
@@ -195,7 +207,7 @@ def repeats(docs: DataFrame, w: Windows, earlier: bool, matcher: Matcher, to_cod
         flags, out = matcher(frame), []
         for own, d, start, done in zip(flags, frame["d"], frame["start"], frame["known"], strict=True):
             if not done:
-                out += [(0, d, 0, start + a, start + b, 0, 0, []) for a, b in intervals(own)]
+                out += [(0, d, 0, start, start + a, start + b, 0, 0, []) for a, b in intervals(own)]
         # cores at the bucket's edges may go on in the next one
         edge = frame.index[frame["core"].isin([frame["core"].iloc[0], frame["core"].iloc[-1]])]
         met: set[tuple] = set()
@@ -214,7 +226,7 @@ def repeats(docs: DataFrame, w: Windows, earlier: bool, matcher: Matcher, to_cod
                     met.add(key)
                 at = np.array([row["off"] - int(band[lo]) * BAND])
                 shared = mix(h.of(at, at + w.window - BAND + 1) + band[lo : lo + 1].astype(np.uint64) * BASE)
-                out.append((1, row["d"], row["doc"], row["start"] + lo, 0, int(shared.view(np.int64)[0]), int((open_[lo:hi] << np.arange(hi - lo)).sum()), own))
+                out.append((1, row["d"], row["doc"], row["start"], row["start"] + lo, 0, int(shared.view(np.int64)[0]), int((open_[lo:hi] << np.arange(hi - lo)).sum()), own))
         for lo in range(0, len(out), 20_000):
             yield pd.DataFrame(out[lo : lo + 20_000], columns=FOUND.names)
 
@@ -222,11 +234,14 @@ def repeats(docs: DataFrame, w: Windows, earlier: bool, matcher: Matcher, to_cod
     where = F.col("doc") if earlier else F.xxhash64("d", "first")
     edge = found.filter("kind = 1")
     bands = materialize(edge.groupBy("hash").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi").select("hash"), "bands")
-    both = edge.join(bands, "hash").select("d", "doc", "first", "asked", F.posexplode("cells").alias("pos", "cell"))
-    both = materialize(both.select("d", "doc", "cell", (F.col("first") + F.col("pos")).alias("first"), F.expr("shiftright(asked, pos) & 1").alias("asked")), "windows")
+    both = edge.join(bands, "hash").select("d", "doc", "start", "first", "asked", F.posexplode("cells").alias("pos", "cell"))
+    both = materialize(both.select("d", "doc", "start", "cell", (F.col("first") + F.col("pos")).alias("first"), F.expr("shiftright(asked, pos) & 1").alias("asked")), "windows")
     same = materialize(both.groupBy("cell").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).filter("lo <> hi"), "edges")
     over = both.filter("asked = 1").join(same, "cell").filter(F.col("doc") > F.col("lo") if earlier else F.lit(True))
-    every = whole.unionByName(found.filter("kind = 0").select("d", "first", "last")).unionByName(over.select("d", "first", F.col("first").alias("last")))
+    hits = found.filter("kind = 0").select("d", "start", "first", "last").unionByName(over.select("d", "start", "first", F.col("first").alias("last")))
+    every = whole.unionByName(hits.select("d", "first", "last"))
+    if earlier:
+        every = every.unionByName(hits.join(other_places(spans, several), ["d", "start"]).select(F.col("to").alias("d"), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last")))
     return texts, every.groupBy("d").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
