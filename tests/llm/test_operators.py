@@ -122,6 +122,27 @@ def test_neighbours_recall(spark):
     assert [(r.query_id, r["rank"]) for r in few.orderBy("rank").collect()] == [(0, 1), (0, 2)]
 
 
+def test_neighbour_graph_of_a_dense_cluster(spark):
+    rng = np.random.default_rng(3)
+    n = 4000
+    x = rng.normal(size=(n, 16))
+    x[: n // 3] = rng.normal(size=16) * 2 + x[: n // 3] * 0.5
+    x /= np.linalg.norm(x, axis=1).max()
+    x = np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))]).astype(np.float16)
+    nodes = spark.createDataFrame([(i, i % 16, v.tobytes()) for i, v in enumerate(x)], neighbours.struct(id=neighbours.LONG, block=neighbours.LONG, vec=neighbours.BIN))
+    g = neighbours.Graph(pivots=2)  # as many rows to a pivot as in a table of a million or more
+    got = {}
+    for r in neighbours.build(nodes, 16, g).collect():
+        for a, b in zip(np.frombuffer(r.a, np.int64).tolist(), np.frombuffer(r.b, np.int64).tolist(), strict=True):
+            got.setdefault(a, set()).add(b)
+    full = x.astype(np.float32)
+    s = full @ full.T
+    np.fill_diagonal(s, -np.inf)
+    top = np.argpartition(-s, 9, axis=1)[:, :10]
+    recall = np.mean([len(got.get(i, set()) & set(top[i].tolist())) / 10 for i in range(n // 3)])
+    assert recall > 0.9
+
+
 def shingles(text, n):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()

@@ -3,10 +3,12 @@
 Equal vectors are one node; vectors of the largest norm M get a coordinate sqrt(M^2 - |x|^2), which makes near in
 inner product and near in angle the same. Index, over every vector:
 
-1. Pivots, a bounded sample, deal each vector to its nearest few cells; oversized cells are split by hash. The best of
-   a cell are a first graph.
+1. Pivots, a bounded sample, deal each vector to its nearest few cells; oversized cells are dealt again by pivots of
+   their own, level by level. The best of a cell are a first graph.
 2. Each round of NN-descent lists, for each node, its neighbours and a sample of the nodes that it is a neighbour
    of, joins their vectors, compares them with each other (the neighbours of neighbours), and merges what it finds.
+   Nodes with nothing new in their lists have nothing new to compare. Rounds end when less than `changed` of all
+   entries are new.
 
 Search, for all queries at once: each keeps a pool of candidates, expands its best few unexpanded nodes by a join
 with the graph, and scores what is new. The best of the pool are scored again on the original vectors, in double
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import BIN, LONG, materialize, struct
 
 PACKED = struct(block=LONG, a=BIN, b=BIN, s=BIN)  # node, neighbour, score
+GRAPH = struct(block=LONG, a=BIN, b=BIN, s=BIN, new=BIN)  # new: 1 for entries of the last round
+DEALT = struct(cell=LONG, id=LONG, vec=BIN)
 ASKED = struct(block=LONG, q=BIN, w=BIN, uq=BIN, uv=BIN)
 POOL = struct(block=LONG, a=BIN, b=BIN, s=BIN, done=BIN)
 
@@ -38,11 +42,14 @@ POOL = struct(block=LONG, a=BIN, b=BIN, s=BIN, done=BIN)
 class Graph:
     neighbours: int = 24
     reverse: int = 24
-    rounds: int = 2
+    rounds: int = 30  # at most; changed ends them
+    changed: float = 0.01
     found: int = 3  # best partners that a node gets from one comparison
     cells: int = 4
     cell_rows: int = 500
     pivots: int = 2048
+    parts: int = 64  # at most, that one level deals a cell to
+    levels: int = 4
     expand: int = 40
     steps: int = 6
     pool: int = 400
@@ -112,15 +119,8 @@ def build(nodes: DataFrame, blocks: int, g: Graph) -> DataFrame:
             for k in range(m):
                 yield pd.DataFrame({"cell": near[:, k].astype(np.int64), "id": frame["id"], "vec": frame["vec"]})
 
-    dealt = nodes.select("id", "vec").mapInPandas(deal, struct(cell=LONG, id=LONG, vec=BIN))
-    sizes = {r[0]: r[1] for r in dealt.groupBy("cell").count().collect()}  # one row a pivot
-    splits = context.broadcast({c: -(-k // (2 * g.cell_rows)) for c, k in sizes.items()})
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            parts = frame["cell"].map(splits.value)
-            frame["cell"] = frame["cell"] + (frame["id"] * 2654435761 % 1000003 % parts) * 100_000
-            yield frame
+    dealt = materialize(nodes.select("id", "vec").mapInPandas(deal, DEALT), "cells")
+    dealt = small_cells(dealt, g)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         ids, x = frame["id"].to_numpy(), halves(frame["vec"])
@@ -133,12 +133,16 @@ def build(nodes: DataFrame, blocks: int, g: Graph) -> DataFrame:
         return by_block(np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel(), blocks)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        return by_block(*best_of(longs(frame["a"]), longs(frame["b"]), floats(frame["s"]), g.neighbours), blocks)
+        old = np.repeat(frame["old"].to_numpy(), frame["a"].map(len) // 8)
+        a, b, s, old = best_of(longs(frame["a"]), longs(frame["b"]), floats(frame["s"]), g.neighbours, old)
+        return pd.DataFrame([(frame["block"].iloc[0], a.tobytes(), b.tobytes(), s.astype(np.float32).tobytes(), (1 - old).astype(np.uint8).tobytes())], columns=GRAPH.names)
+
+    def merged(found: DataFrame) -> DataFrame:
+        return materialize(found.groupBy("block").applyInPandas(merge, GRAPH), "graph")
 
-    cells = dealt.mapInPandas(split, dealt.schema).groupBy("cell").applyInPandas(compare, PACKED)
-    graph = materialize(cells.groupBy("block").applyInPandas(merge, PACKED), "graph")
+    graph = merged(dealt.groupBy("cell").applyInPandas(compare, PACKED).withColumn("old", F.lit(0)))
     for _ in range(g.rounds):
-        near = linked(graph, blocks, g).join(nodes.select(F.col("id").alias("other"), "vec"), "other")
+        near = linked(graph, blocks, g, only_new=True).join(nodes.select(F.col("id").alias("other"), "vec"), "other")
 
         def descend(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["at", "other"], kind="stable")
@@ -156,24 +160,82 @@ def build(nodes: DataFrame, blocks: int, g: Graph) -> DataFrame:
             return by_block(*(np.concatenate(c) for c in zip(*out, strict=True)), blocks) if out else pd.DataFrame(columns=PACKED.names)
 
         found = near.groupBy((F.col("at") % blocks).alias("block")).applyInPandas(descend, PACKED)
-        graph = materialize(found.unionByName(graph).groupBy("block").applyInPandas(merge, PACKED), "graph")
+        graph = merged(found.withColumn("old", F.lit(0)).unionByName(graph.drop("new").withColumn("old", F.lit(1))))
+        new, every = graph.select(F.sum(F.length(F.expr("replace(hex(new), '00', '')")) / 2), F.sum(F.octet_length("new"))).head()
+        if (new or 0) <= g.changed * (every or 0):
+            break
     return graph
 
 
-def linked(graph: DataFrame, blocks: int, g: Graph) -> DataFrame:
-    """(at, other): each node's neighbours, and at most g.reverse of the nodes that have it as one."""
+def small_cells(dealt: DataFrame, g: Graph) -> DataFrame:
+    """Rows of dealt, in cells of at most 2 * g.cell_rows: larger ones are dealt to the nearest of pivots out of themselves,
+    as often as g.levels, and by hash only where that leaves one too large (vectors that half precision hardly tells apart)."""
+    context, done, wide = dealt.sparkSession.sparkContext, None, 2 * g.cell_rows
+    for level in range(g.levels + 1):
+        sizes = {r[0]: r[1] for r in dealt.groupBy("cell").count().filter(F.col("count") > wide).collect()}
+        large = context.broadcast(sizes)
+
+        def rows_of(big: bool, large=large):
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for frame in batches:
+                    yield frame[frame["cell"].isin(large.value) == big]
+
+            return run
+
+        small = dealt.mapInPandas(rows_of(False), DEALT)
+        done = small if done is None else done.unionByName(small)
+        if not sizes:
+            return done
+        big = dealt.mapInPandas(rows_of(True), DEALT)
+        pivots: dict[int, np.ndarray] = {}
+        if level < g.levels:
+
+            def sample(batches: Iterator[pd.DataFrame], large=large, level=level) -> Iterator[pd.DataFrame]:
+                for frame in batches:
+                    n = frame["cell"].map(large.value).to_numpy(np.float64)
+                    share = np.minimum(-(-n // g.cell_rows), g.parts) / np.maximum(n, 1)
+                    draw = ((frame["id"].to_numpy() * 2654435761 + level * 97) ^ (frame["cell"].to_numpy() * 40503)) % 1000003 / 1000003
+                    yield frame[draw < share]
+
+            picked = big.mapInPandas(sample, DEALT).toPandas()  # at most some g.parts vectors a cell
+            pivots = {c: halves(v) for c, v in picked.groupby("cell")["vec"]}
+        shared = context.broadcast(pivots)
+
+        def deal(batches: Iterator[pd.DataFrame], shared=shared, large=large, level=level) -> Iterator[pd.DataFrame]:
+            for frame in batches:
+                for cell, part in frame.groupby("cell"):
+                    own = shared.value.get(cell)
+                    if own is None or len(own) < 2:
+                        to = part["id"].to_numpy() * 2654435761 % 1000003 % -(-large.value[cell] // wide)
+                    else:
+                        to = (halves(part["vec"]) @ own.T - 0.5 * (own * own).sum(1)).argmax(axis=1)
+                    # a hash as name: should two cells ever share one, they are only compared together
+                    name = [hash((int(cell), level, int(t))) for t in to]
+                    yield pd.DataFrame({"cell": np.array(name, np.int64), "id": part["id"], "vec": part["vec"]})
+
+        dealt = materialize(big.mapInPandas(deal, DEALT), "cells")
+    return done.unionByName(dealt)
+
+
+def linked(graph: DataFrame, blocks: int, g: Graph, only_new: bool = False) -> DataFrame:
+    """(at, other): each node's neighbours, and at most g.reverse of the nodes that have it as one. With only_new of the nodes where one of them is new."""
 
     def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            a, b, s = longs(frame["a"]), longs(frame["b"]), floats(frame["s"])
-            yield by_block(a, b, np.full(len(s), 2.0), blocks)
-            # a hash in place of the score makes the choice of reverse neighbours a repeatable random one
-            yield by_block(b, a, (((a * 40503) ^ (b * 2654435761)) % 9973 / 9973.0), blocks)
+            a, b = longs(frame["a"]), longs(frame["b"])
+            new = np.concatenate([np.frombuffer(v, np.uint8) for v in frame["new"]]) if len(frame) else np.empty(0, np.uint8)
+            yield by_block(a, b, 2.0 + new, blocks)
+            # a hash in place of the score makes the choice of reverse neighbours a repeatable random one; its last bit is new
+            yield by_block(b, a, (((a * 40503) ^ (b * 2654435761)) % 9973 * 2 + new) / 20000.0, blocks)
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         a, b, s = longs(frame["a"]), longs(frame["b"]), floats(frame["s"])
-        fa, fb = a[s == 2], b[s == 2]
-        ra, rb, _ = best_of(a[s < 2], b[s < 2], s[s < 2], g.reverse)
+        fa, fb = a[s >= 2], b[s >= 2]
+        ra, rb, rs = best_of(a[s < 2], b[s < 2], s[s < 2], g.reverse)
+        if only_new:
+            asks = np.unique(np.concatenate([a[s == 3], ra[np.rint(rs * 20000).astype(np.int64) % 2 == 1]]))
+            f, r = np.isin(fa, asks), np.isin(ra, asks)
+            fa, fb, ra, rb = fa[f], fb[f], ra[r], rb[r]
         pairs = np.unique(np.stack([np.concatenate([fa, ra]), np.concatenate([fb, rb])], axis=1), axis=0)
         return pd.DataFrame({"at": pairs[:, 0], "other": pairs[:, 1]})
 
