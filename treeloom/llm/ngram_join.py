@@ -1,19 +1,22 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document's set is its distinct n-word shingles (64-bit hashes). Tokens have one global order: rare ones by hash,
-then frequent ones by frequency. Two sets of likeness t or more share at least l tokens among the first
-|x| - ceil(t|x|) + l of each. Every document picks its own l: a longer prefix makes more lookups, but only documents
-that share min(l, l') prefix tokens are verified, so l grows with the estimated number of candidates. Frequencies
-come from mergeable heavy-hitter summaries of all documents; they steer cost only, never results.
-
-The join returns classes: equal sets are collapsed first, then the components of the links between different sets.
-It goes in two steps. First each set is verified against one earlier set, that with which it shares most prefix
-tokens. Then only tokens whose sets lie in different components so far give pairs, and all of those that share
-enough tokens are verified. So no link that matters is lost, and a large group of near copies costs one
-verification a member rather than one a pair.
-
-Null, empty and blank texts have empty sets, linked with nothing. Repeated rows of one id are one document each with
-the same component. Null ids are dropped from links and come back with their size and a null component.
+A document's set is its distinct n-word shingles (64-bit hashes). Tokens have one global order: by estimated frequency,
+then by hash. Two sets of likeness t or more share at least l tokens among the first |x| - ceil(t|x|) + l of each.
+Every document picks its own l: a longer prefix makes more lookups, but only documents that share min(l, l') prefix
+tokens are verified, so l grows with the estimated number of candidates. Frequencies come from hashed counters over
+all documents; they steer cost only, never results.
+
+Equal sets are one node, named by a 64-bit hash of the set. The join returns the components of the links between
+nodes. It goes in two steps. First each node is verified against one other, the first node of most of its prefix
+tokens. Then only tokens whose nodes lie in different components so far give pairs, within the sizes that can be
+alike, and all of those that share enough tokens are verified. So no link that matters is lost, and a large group of
+near copies costs one verification a member rather than one a pair. For verification compressed texts travel, which
+are a third of the sets' size; they are cut into sets again where both meet.
+
+Null, empty and blank texts have empty sets, linked with nothing. Very long texts are cut whole. Repeated rows are one
+node; rows that share an id but not a text are judged each by its own text. A null id takes part as well; its
+component is the smallest id that it reaches, or null. Other columns are ignored, whatever their names; an empty
+table gives an empty result. Ties of likeness at the bound count as links.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +36,10 @@ from .common import BIN, INT, LONG, materialize, struct, text_words
 from .components import components
 
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-KEPT_BITS = np.uint64(0xFFFFFFFFFFFF)
 LONGEST_MATCH = 4
-HOT_TOKENS = 100_000
+HOT_CELLS = 100_000
+CELL_BITS = 22
+ROWS_A_PART = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -64,9 +69,9 @@ class WordHashes(dict):
 _hash_of = WordHashes()
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; one of the whole sequence if it has fewer words."""
-    ws = text_words(text)
+def shingle_hashes(text: str | bytes | None, words: int) -> np.ndarray:
+    """64-bit hashes of a text's shingles, in order; one of the whole sequence if it has fewer words."""
+    ws = text.lower().split() if isinstance(text, bytes) else text_words(text)
     if not ws:
         return np.empty(0, np.uint64)
     if len(_hash_of) > 400_000:
@@ -76,59 +81,50 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     out = np.full(n, min(len(h), words), dtype=np.uint64)
     for k in range(min(words, len(h))):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
+    return out
 
 
-class HeavyHitters:
-    """Misra-Gries summary: any token in more than total / size sets is kept; counts may be low, never high."""
+def shingle_set(text: str | bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes."""
+    out = shingle_hashes(text, words)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
 
-    def __init__(self, size: int = 1 << 17):
-        self.size, self.tokens, self.counts = size, np.empty(0, np.uint64), np.empty(0, np.int64)
 
-    def add(self, tokens: np.ndarray, counts: np.ndarray) -> None:
-        both, at = np.unique(np.concatenate([self.tokens, tokens]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
-        if len(both) > self.size:
-            n -= np.partition(n, len(n) - self.size - 1)[len(n) - self.size - 1]
-            both, n = both[n > 0], n[n > 0]
-        self.tokens, self.counts = both, n
+def hot_cells(docs: DataFrame, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent cells of the tokens' hash range, and in how many texts they are, about; at most HOT_CELLS.
 
-
-def hot_tokens(docs: DataFrame, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens and in how many texts they are, at least; at most HOT_TOKENS."""
+    Every task counts all tokens of its texts in 2^CELL_BITS cells and reports those well above the mean.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary, seen = HeavyHitters(), set()
+        counts, seen = np.zeros(1 << CELL_BITS, np.int32), set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
-                sets = []
+                tokens = []
                 for text in batch.column(0).slice(lo, 1000).to_pylist():
                     digest = xxhash.xxh3_64_intdigest(text or "")
                     if digest not in seen:
                         seen.add(digest)
-                        sets.append(shingle_set(text, like.words))
+                        tokens.append(shingle_hashes(text, like.words))
                 if len(seen) > 1_000_000:
                     seen.clear()
-                if sets:
-                    summary.add(*np.unique(np.concatenate(sets), return_counts=True))
-        keep = summary.counts > 1
-        yield pa.RecordBatch.from_arrays([pa.array(summary.tokens[keep].view(np.int64)), pa.array(summary.counts[keep])], names=["token", "n"])
+                if tokens:
+                    np.add.at(counts, (np.concatenate(tokens) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+        mean = counts.mean()
+        cells = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 2)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array((counts[cells] - mean).astype(np.int64))], names=["cell", "n"])
 
-    rows = docs.select("text").mapInArrow(run, struct(token=LONG, n=LONG)).groupBy("token").agg(F.sum("n").alias("n"))
-    top = rows.filter("n >= 4").orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toPandas()
-    tokens, counts = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    return tokens[order], counts[order]
+    rows = docs.select("text").mapInArrow(run, struct(cell=LONG, n=LONG)).groupBy("cell").agg(F.sum("n").alias("n"))
+    top = rows.filter("n >= 4").orderBy(F.desc("n"), "cell").limit(HOT_CELLS).toPandas()
+    order = np.argsort(top["cell"].to_numpy(np.int64))
+    return top["cell"].to_numpy(np.int64)[order], top["n"].to_numpy(np.int64)[order]
 
 
-def prefix(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray, like: Likeness) -> tuple[np.ndarray, int]:
-    """The tokens that a set is looked up by, and how many of them a partner must share."""
+def prefix(tokens: np.ndarray, seen: np.ndarray, like: Likeness) -> tuple[np.ndarray, int]:
+    """Places of the tokens that a set is looked up by, and how many of them a partner must share. seen: their frequencies."""
     n = len(tokens)
-    seen = np.ones(n, np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-        seen = np.where(hot[at] == tokens, counts[at], 1)
-    order = np.lexsort((tokens, seen))
+    order = np.argsort(seen, kind="stable")  # tokens come sorted, so ties are in order of their hash
     base = n - like.least(n)
     best, cost = 1, None
     for match in range(1, LONGEST_MATCH + 1):
@@ -138,112 +134,188 @@ def prefix(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray, like: Likene
         now = found + 20 * found / match
         if cost is None or now < cost:
             best, cost = match, now
-    return tokens[order[: min(n, base + best)]], best
+    return order[: min(n, base + best)], best
+
 
+#: d: hash of the text; node: hash of the set; parts: into how many parts a frequent token's rows are split
+SETS = struct(doc_id=LONG, d=LONG, n=LONG, node=LONG, l=INT, p=INT, prefix=T.ArrayType(LONG), parts=T.ArrayType(INT))
 
-SETS = struct(doc_id=LONG, n=LONG, key=BIN, l=INT, prefix=T.ArrayType(LONG))
+
+def node_of(tokens: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
 def prefixes(docs: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT_TOKENS entries
+    """A row for each of docs; the prefix of a set that a task has met before is left out."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT_CELLS entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = shared.value
+        cells, counts = shared.value
+        frequency = np.ones(1 << CELL_BITS, np.int64)
+        frequency[cells] = counts
+        met: set[int] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                ns, keys, ls, firsts = [], [], [], []
-                for text in part.column(1).to_pylist():
+                ns, nodes, ls, firsts, parts = [], [], [], [], []
+                for text in part.column(2).to_pylist():
                     s = shingle_set(text, like.words)
-                    p, match = prefix(s, frequent, counts, like) if len(s) else (s, 0)
-                    ns.append(len(s)), keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None), ls.append(match), firsts.append(p.view(np.int64))
-                flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in firsts])]).astype(np.int32), pa.array(np.concatenate(firsts)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(ls, pa.int32()), flat], names=SETS.names)
-
-    return docs.mapInArrow(run, SETS)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """Of pairs (a, b), those whose sets are alike. sets has (id, cells): 48 bits of each token's hash."""
+                    node = node_of(s) if len(s) else None
+                    p, match = np.empty(0, np.int64), 0
+                    if len(s):
+                        seen = frequency[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                        p, match = prefix(s, seen, like)
+                    if len(p) and node not in met:
+                        met.add(node)
+                        firsts.append(s[p].view(np.int64)), parts.append(1 + seen[p] // ROWS_A_PART)
+                    else:
+                        firsts.append(np.empty(0, np.int64)), parts.append(np.empty(0, np.int64))
+                    ns.append(len(s)), nodes.append(node), ls.append((match, len(p)))
+                if len(met) > 1_000_000:
+                    met.clear()
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in firsts])]).astype(np.int32))
+                flat, often = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts).astype(np.int32)))
+                columns = [part.column(0), part.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array([m for m, _ in ls], pa.int32()), pa.array([p for _, p in ls], pa.int32()), flat, often]
+                yield pa.RecordBatch.from_arrays(columns, names=SETS.names)
+
+    return docs.select("doc_id", "d", "text").mapInArrow(run, SETS)
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def alike(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose sets are alike. texts has (node, z): one compressed text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, near = zstandard.ZstdDecompressor(), {}
         for batch in batches:
-            keep, last, mine = [], None, None
+            keep = []
             for i, (a, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
-                if a != last:
-                    last, mine = a, unpack(x)
-                other = unpack(y)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
+                mine = near.get(a)
+                if mine is None:
+                    if len(near) >= 16:
+                        near.clear()
+                    mine = near[a] = shingle_set(unpack.decompress(x), like.words)
+                other = shingle_set(unpack.decompress(y), like.words)
+                both = common(mine, other)
                 if 100 * both >= like.percent * (len(mine) + len(other) - both):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    x = sets.select(F.col("id").alias("a"), F.col("cells").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("cells").alias("y"))
+    x = texts.select(F.col("node").alias("a"), F.col("z").alias("x"))
+    y = texts.select(F.col("node").alias("b"), F.col("z").alias("y"))
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, struct(a=LONG, b=LONG))
 
 
-def pack_cells(tokens: np.ndarray) -> bytes:
-    cells = np.unique(mix(tokens) & KEPT_BITS)
-    return cells.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
+def packed_texts(docs: DataFrame, nodes: DataFrame, one: DataFrame) -> DataFrame:
+    """(node, z) of nodes: the text of the row that stands for each, compressed before it is shuffled."""
 
-def unpack(data: bytes) -> np.ndarray:
-    cells = np.zeros((len(data) // 6, 8), np.uint8)
-    cells[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return cells.view(np.uint64).ravel()
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, like: Likeness) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack_cells(shingle_set(t, like.words)) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "cells"])
+                z = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], names=["node", "z"])
 
-    return docs.join(ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text").mapInArrow(run, struct(id=LONG, cells=BIN))
+    wanted = one.join(nodes, "node").select("node", F.col("doc_id").alias("id"), F.col("d").alias("h"))
+    rows = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("id")) & (docs.d == F.col("h"))).select("node", "text")
+    return rows.mapInArrow(run, struct(node=LONG, z=BIN)).dropDuplicates(["node"])
 
 
-def checked(docs: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
-    """The alike ones of pairs, a table; only documents in a pair are read again and cut into sets."""
+def checked(docs: DataFrame, pairs: DataFrame, one: DataFrame, like: Likeness) -> DataFrame:
+    """The alike ones of pairs, a table; only documents in a pair are read again."""
     if pairs.isEmpty():
         return pairs
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return materialize(verified(pairs, materialize(sets_of(docs, ids, like), "sets"), like), "edges")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return materialize(alike(pairs, packed_texts(docs, nodes, one), like), "edges")
+
+
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """(token, node, hub) of the prefix tokens that several nodes have. hub: the token's first node, of its part.
+
+    One shuffle and sort by token, then a running window that holds one row; the parts of a frequent token are linked
+    by their hubs.
+    """
+    one = rows.filter("size(prefix) > 0").select("node", F.explode(F.arrays_zip("prefix", "parts")).alias("t"))
+    tokens = one.select(F.col("t.prefix").alias("token"), F.when(F.col("t.parts") > 1, F.pmod("node", "t.parts")).otherwise(0).cast("int").alias("part"), (F.col("t.parts") > 1).alias("split"), "node")
+
+    def first_of(df: DataFrame, *key: str) -> DataFrame:
+        w = Window.partitionBy(*key).orderBy("node")
+        df = df.select("*", F.first("node").over(w).alias("hub"), F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
+        return df.filter("before is null or before <> node")
+
+    marked = first_of(tokens, "token", "part").withColumn("single", F.expr("node = hub and (after is null or after = node)"))
+    found = materialize(marked.filter("split or not single").select("token", "node", "hub", "split", (F.col("node") == F.col("hub")).alias("heads")), "found")
+    heads = first_of(found.filter("split and heads").select("token", "node"), "token").filter("node <> hub or after is not null").select("token", "node", "hub")
+    return found.select("token", "node", "hub").unionByName(heads)
 
 
 def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(prefixes(docs, like, hot_tokens(docs, like)), "prefixes")
-    some = rows.filter("n > 0 and doc_id is not null")
-    equal = materialize(some.groupBy("key").agg(F.min("doc_id").alias("id")), "equal")
-    # the set of the smallest id stands for all equal sets; a repeated id counts once
-    first = some.join(equal, (some.key == equal.key) & (some.doc_id == equal.id), "left_semi").dropDuplicates(["doc_id"])
-    tokens = first.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token"))
-    shared = materialize(tokens.groupBy("token").agg(F.min("id").alias("hub"), F.count("*").alias("c")).filter("c > 1"), "shared")
-    found = materialize(tokens.join(shared, "token").select("token", "id", "hub"), "found")
-    sizes = first.select(F.col("doc_id").alias("id"), "n", "l", F.size("prefix").alias("p"))
-
-    # an earlier set that shares a third of the prefix is worth a look now; others wait for the second step
-    near = found.filter("hub < id").groupBy("id", "hub").agg(F.count("*").alias("c"))
-    best = near.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"), F.max("c").alias("c"))
-    star = best.join(sizes, "id").filter("3 * c >= p").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    edges = checked(docs, materialize(star, "star"), like)
+    """doc_id, n_shingles, component_id of every row, and text_hash, which with the id tells rows of one id apart."""
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("d"), text.alias("text"))
+    rows = materialize(prefixes(docs, like, hot_cells(docs, like)), "prefixes")
+    some = rows.filter("n > 0")
+    by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "d")
+    one = materialize(some.groupBy("node").agg(F.min(by_id).alias("s"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("p").alias("p")).select("node", F.col("s.doc_id").alias("doc_id"), F.col("s.d").alias("d"), "n", "l", "p"), "nodes")
+    found = shared_tokens(rows)
+    sizes = one.select("node", "n", "l", "p")
+
+    def can_be_alike(a: str, b: str) -> F.Column:
+        return 100 * F.least(a, b) >= like.percent * F.greatest(a, b)
+
+    # a node that heads a third of the prefix's tokens is worth a look now; others wait for the second step
+    near = found.filter("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("c"))
+    best = near.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"), F.max("c").alias("c"))
+    of_hub = sizes.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"))
+    star = best.join(sizes, "node").filter("3 * c >= p").join(of_hub, "hub").filter(can_be_alike("n", "n_hub"))
+    edges = checked(docs, materialize(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), "star"), one, like)
     group = components(edges)
 
-    placed = found.join(group, "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
-    placed = materialize(placed, "placed")
+    placed = materialize(found.select("token", "node").join(group.select(F.col("id").alias("node"), "component"), "node", "left").select("token", "node", F.coalesce("component", "node").alias("component")), "placed")
     apart = materialize(placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token"), "apart")
-    rest = materialize(placed.join(apart, "token", "left_semi").join(sizes, "id"), "rest")
-    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "l", "component")]) for s in "ab")
-    pairs = x.join(y, "token").filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")))
-    pairs = pairs.filter(100 * F.least("n_a", "n_b") >= like.percent * F.greatest("n_a", "n_b"))
-    pairs = pairs.groupBy("id_a", "id_b").agg(F.count("*").alias("c"), F.first(F.least("l_a", "l_b")).alias("l")).filter("c >= l")
-    more = checked(docs, materialize(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "pairs"), like)
+    # sizes within a factor that can be alike are in one class of sizes or in neighbouring ones
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / like.percent) * 1.000001)).cast("int")
+    rest = materialize(placed.join(apart, "token", "left_semi").dropDuplicates(["token", "node"]).join(sizes, "node").withColumn("size", step), "rest")
+    x = rest.select("token", "size", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "l", "component")])
+    y = rest.select("token", F.explode(F.array("size", F.col("size") - 1)).alias("size"), F.col("size").alias("own"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "l", "component")])
+    pairs = x.join(y, ["token", "size"]).filter("component_a <> component_b and (own <> size or node_a < node_b)").filter(can_be_alike("n_a", "n_b"))
+    pairs = pairs.groupBy("node_a", "node_b").agg(F.count("*").alias("c"), F.first(F.least("l_a", "l_b")).alias("l")).filter("c >= l")
+    more = checked(docs, materialize(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs"), one, like)
     if not more.isEmpty():
         group = components(edges.unionByName(more))
 
-    to = equal.join(group, "id", "left").select(F.col("key").alias("k"), F.coalesce("component", "id").alias("component"))
-    to = materialize(to, "classes")
-    return rows.join(to, rows.key == to.k, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    label = one.select("node", "doc_id").join(group.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    label = materialize(label, "classes")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(first).alias("s"))
+    label = label.join(least, "component").select("node", "component_id", F.col("s.doc_id").alias("lead_id"), F.col("s.node").alias("lead"))
+    label = label.join(one.select(F.col("node").alias("lead"), F.col("d").alias("lead_d")), "lead")
+    out = rows.select("doc_id", "d", "n", "node").join(label, "node", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    leads = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("d") == F.col("lead_d")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("d").alias("text_hash"), leads.alias("leads"))
+
+
+def one_of_each(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, but of each component only the one of the smallest id (null ids come last).
+
+    Of rows with equal id and text one stays. Rows without words are linked with nothing and all stay.
+    """
+    row = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("d"))
+    got = classes(docs, like, id_col, text_col).filter("n_shingles > 0").groupBy("doc_id", "text_hash", "leads").agg(F.count("*").alias("times"))
+    marks = materialize(got.filter("not leads or times > 1").select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("d")).alias("row"), "leads"), "marks")
+    key = "__row"
+    keyed = docs.withColumn(key, row)
+    gone = marks.select(F.col("row").alias(key))
+    out = keyed.join(gone, key, "left_anti")
+    again = marks.filter("leads").select(F.col("row").alias(key))
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key]))
+    return out.select(docs.columns)

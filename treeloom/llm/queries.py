@@ -24,7 +24,7 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.classes(table(spark, sf_dir, "documents"), ngram_join.Likeness(words=3, percent=90))
+    return ngram_join.classes(table(spark, sf_dir, "documents"), ngram_join.Likeness(words=3, percent=90)).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
