@@ -21,8 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a likeness of 0.8 of their five-word shingles, the one of the smallest id stays."""
-    others = ngram_join.classes(docs, ngram_join.Likeness(words=5, percent=80)).filter("component_id <> doc_id")
-    return docs.join(others.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return ngram_join.one_of_each(docs, ngram_join.Likeness(words=5, percent=80))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
