@@ -13,6 +13,9 @@ alike, and all of those that share enough tokens are verified. So no link that m
 near copies costs one verification a member rather than one a pair. For verification compressed texts travel, which
 are a third of the sets' size; they are cut into sets again where both meet.
 
+A pair's shared prefix tokens also bound its likeness: all tokens up to the end of the prefix that ends first in the
+global order are known, so those of them that are not shared are lost.
+
 Null, empty and blank texts have empty sets, linked with nothing. Very long texts are cut whole. Repeated rows are one
 node; rows that share an id but not a text are judged each by its own text. A null id takes part as well; its
 component is the smallest id that it reaches, or null. Other columns are ignored, whatever their names; an empty
@@ -137,8 +140,9 @@ def prefix(tokens: np.ndarray, seen: np.ndarray, like: Likeness) -> tuple[np.nda
     return order[: min(n, base + best)], best
 
 
-#: d: hash of the text; node: hash of the set; parts: into how many parts a frequent token's rows are split
-SETS = struct(doc_id=LONG, d=LONG, n=LONG, node=LONG, l=INT, p=INT, prefix=T.ArrayType(LONG), parts=T.ArrayType(INT))
+#: d: hash of the text; node: hash of the set; l, p: shared tokens asked for, length of the prefix; end, last: frequency
+#: and hash of its last token; parts: into how many parts a frequent token's rows are split
+SETS = struct(doc_id=LONG, d=LONG, n=LONG, node=LONG, l=INT, p=INT, end=LONG, last=LONG, prefix=T.ArrayType(LONG), parts=T.ArrayType(INT))
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -170,12 +174,12 @@ def prefixes(docs: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.ndarray]
                         firsts.append(s[p].view(np.int64)), parts.append(1 + seen[p] // ROWS_A_PART)
                     else:
                         firsts.append(np.empty(0, np.int64)), parts.append(np.empty(0, np.int64))
-                    ns.append(len(s)), nodes.append(node), ls.append((match, len(p)))
+                    ns.append(len(s)), nodes.append(node), ls.append((match, len(p), int(seen[p[-1]]), int(s[p[-1]]) - (1 << 63)) if len(p) else (0, 0, 0, 0))
                 if len(met) > 1_000_000:
                     met.clear()
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in firsts])]).astype(np.int32))
                 flat, often = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts).astype(np.int32)))
-                columns = [part.column(0), part.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array([m for m, _ in ls], pa.int32()), pa.array([p for _, p in ls], pa.int32()), flat, often]
+                columns = [part.column(0), part.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array([x[0] for x in ls], pa.int32()), pa.array([x[1] for x in ls], pa.int32()), pa.array([x[2] for x in ls], pa.int64()), pa.array([x[3] for x in ls], pa.int64()), flat, often]
                 yield pa.RecordBatch.from_arrays(columns, names=SETS.names)
 
     return docs.select("doc_id", "d", "text").mapInArrow(run, SETS)
@@ -237,13 +241,13 @@ def checked(docs: DataFrame, pairs: DataFrame, one: DataFrame, like: Likeness) -
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
-    """(token, node, hub) of the prefix tokens that several nodes have. hub: the token's first node, of its part.
+    """(token, node, at, hub) of the prefix tokens that several nodes have. at: its place in the prefix; hub: its first node, of its part.
 
     One shuffle and sort by token, then a running window that holds one row; the parts of a frequent token are linked
     by their hubs.
     """
-    one = rows.filter("size(prefix) > 0").select("node", F.explode(F.arrays_zip("prefix", "parts")).alias("t"))
-    tokens = one.select(F.col("t.prefix").alias("token"), F.when(F.col("t.parts") > 1, F.pmod("node", "t.parts")).otherwise(0).cast("int").alias("part"), (F.col("t.parts") > 1).alias("split"), "node")
+    one = rows.filter("size(prefix) > 0").select("node", F.posexplode(F.arrays_zip("prefix", "parts")).alias("at", "t"))
+    tokens = one.select(F.col("t.prefix").alias("token"), F.when(F.col("t.parts") > 1, F.pmod("node", "t.parts")).otherwise(0).cast("int").alias("part"), (F.col("t.parts") > 1).alias("split"), "node", "at")
 
     def first_of(df: DataFrame, *key: str) -> DataFrame:
         w = Window.partitionBy(*key).orderBy("node")
@@ -251,9 +255,9 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
         return df.filter("before is null or before <> node")
 
     marked = first_of(tokens, "token", "part").withColumn("single", F.expr("node = hub and (after is null or after = node)"))
-    found = materialize(marked.filter("split or not single").select("token", "node", "hub", "split", (F.col("node") == F.col("hub")).alias("heads")), "found")
-    heads = first_of(found.filter("split and heads").select("token", "node"), "token").filter("node <> hub or after is not null").select("token", "node", "hub")
-    return found.select("token", "node", "hub").unionByName(heads)
+    found = materialize(marked.filter("split or not single").select("token", "node", "at", "hub", "split", (F.col("node") == F.col("hub")).alias("heads")), "found")
+    heads = first_of(found.filter("split and heads").select("token", "node", "at"), "token").filter("node <> hub or after is not null").select("token", "node", "at", "hub")
+    return found.select("token", "node", "at", "hub").unionByName(heads)
 
 
 def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,9 +267,9 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id"
     rows = materialize(prefixes(docs, like, hot_cells(docs, like)), "prefixes")
     some = rows.filter("n > 0")
     by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "d")
-    one = materialize(some.groupBy("node").agg(F.min(by_id).alias("s"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("p").alias("p")).select("node", F.col("s.doc_id").alias("doc_id"), F.col("s.d").alias("d"), "n", "l", "p"), "nodes")
+    one = materialize(some.groupBy("node").agg(F.min(by_id).alias("s"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("p").alias("p"), F.first(F.struct("end", "last")).alias("end")).select("node", F.col("s.doc_id").alias("doc_id"), F.col("s.d").alias("d"), "n", "l", "p", "end"), "nodes")
     found = shared_tokens(rows)
-    sizes = one.select("node", "n", "l", "p")
+    sizes = one.select("node", "n", "l", "p", "end")
 
     def can_be_alike(a: str, b: str) -> F.Column:
         return 100 * F.least(a, b) >= like.percent * F.greatest(a, b)
@@ -278,15 +282,21 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id"
     edges = checked(docs, materialize(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), "star"), one, like)
     group = components(edges)
 
-    placed = materialize(found.select("token", "node").join(group.select(F.col("id").alias("node"), "component"), "node", "left").select("token", "node", F.coalesce("component", "node").alias("component")), "placed")
+    placed = materialize(found.select("token", "node", "at").join(group.select(F.col("id").alias("node"), "component"), "node", "left").select("token", "node", "at", F.coalesce("component", "node").alias("component")), "placed")
     apart = materialize(placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token"), "apart")
     # sizes within a factor that can be alike are in one class of sizes or in neighbouring ones
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / like.percent) * 1.000001)).cast("int")
     rest = materialize(placed.join(apart, "token", "left_semi").dropDuplicates(["token", "node"]).join(sizes, "node").withColumn("size", step), "rest")
-    x = rest.select("token", "size", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "l", "component")])
-    y = rest.select("token", F.explode(F.array("size", F.col("size") - 1)).alias("size"), F.col("size").alias("own"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "l", "component")])
+    own = ("node", "at", "n", "l", "p", "end", "component")
+    x = rest.select("token", "size", *[F.col(c).alias(f"{c}_a") for c in own])
+    y = rest.select("token", F.explode(F.array("size", F.col("size") - 1)).alias("size"), F.col("size").alias("own"), *[F.col(c).alias(f"{c}_b") for c in own])
     pairs = x.join(y, ["token", "size"]).filter("component_a <> component_b and (own <> size or node_a < node_b)").filter(can_be_alike("n_a", "n_b"))
-    pairs = pairs.groupBy("node_a", "node_b").agg(F.count("*").alias("c"), F.first(F.least("l_a", "l_b")).alias("l")).filter("c >= l")
+    # of a's and b's tokens up to the end of the first of the two prefixes c are shared, the others are not
+    passed = [F.when(F.col(f"end_{s}") <= F.col(f"end_{t}"), F.col(f"p_{s}")).otherwise(F.col(f"at_{s}") + 1) for s, t in ("ab", "ba")]
+    left = [F.min(F.col(f"n_{s}") - k).alias(f"left_{s}") for s, k in zip("ab", passed, strict=True)]
+    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("c"), F.first(F.least("l_a", "l_b")).alias("l"), *left)
+    most = F.col("c") + F.least("left_a", "left_b")
+    pairs = pairs.filter("c >= l").filter((100 + like.percent) * most >= like.percent * (F.col("n_a") + F.col("n_b")))
     more = checked(docs, materialize(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs"), one, like)
     if not more.isEmpty():
         group = components(edges.unionByName(more))
