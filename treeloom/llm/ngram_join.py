@@ -7,14 +7,19 @@ tokens are verified, so l grows with the estimated number of candidates. Frequen
 all documents; they steer cost only, never results.
 
 Equal sets are one node, named by a 64-bit hash of the set. The join returns the components of the links between
-nodes. It goes in two steps. First each node is verified against one other, the first node of most of its prefix
-tokens. Then only tokens whose nodes lie in different components so far give pairs, within the sizes that can be
-alike, and all of those that share enough tokens are verified. So no link that matters is lost, and a large group of
-near copies costs one verification a member rather than one a pair. For verification compressed texts travel, which
-are a third of the sets' size; they are cut into sets again where both meet.
+nodes, in three steps, each of which looks only at tokens whose nodes lie in different components so far:
 
-A pair's shared prefix tokens also bound its likeness: all tokens up to the end of the prefix that ends first in the
-global order are known, so those of them that are not shared are lost.
+1. Rounds in which every node is verified against one other, the hub of most of its prefix tokens; hubs change from
+   round to round. They end when few of the pairs are alike. A large group of near copies costs a verification a
+   member and round rather than one a pair.
+2. Nodes with few candidates, as the tokens' exact counts now tell, are joined with all that share enough tokens. All
+   tokens up to the end of the prefix that ends first are known, so those of them that are not shared bound a pair.
+3. The other nodes get a longer prefix, about twice the first, of which a partner shares at least l tokens, l about a
+   half. So each may leave out the l - 1 tokens that most nodes have, by exact count, and still meets every partner
+   in one of the rest: a passage that many documents share makes no candidates by itself.
+
+So no link that matters is lost. For verification compressed texts travel, which are a third of the sets' size; they
+are cut into sets again where both meet.
 
 Null, empty and blank texts have empty sets, linked with nothing. Very long texts are cut whole. Repeated rows are one
 node; rows that share an id but not a text are judged each by its own text. A null id takes part as well; its
@@ -24,6 +29,7 @@ table gives an empty result. Ties of likeness at the bound count as links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +47,8 @@ from .components import components
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 LONGEST_MATCH = 4
 HOT_CELLS = 100_000
+ROUNDS = 6
+FEW = 32
 CELL_BITS = 22
 ROWS_A_PART = 1_000_000
 
@@ -196,16 +204,23 @@ def alike(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose sets are alike. texts has (node, z): one compressed text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, near = zstandard.ZstdDecompressor(), {}
+        unpack, sets, held = zstandard.ZstdDecompressor(), {}, 0
+
+        def set_of(node: int, z: bytes) -> np.ndarray:
+            nonlocal held
+            got = sets.get(node)
+            if got is None:
+                if held > 4_000_000:
+                    sets.clear()
+                    held = 0
+                got = sets[node] = shingle_set(unpack.decompress(z), like.words)
+                held += len(got)
+            return got
+
         for batch in batches:
             keep = []
-            for i, (a, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
-                mine = near.get(a)
-                if mine is None:
-                    if len(near) >= 16:
-                        near.clear()
-                    mine = near[a] = shingle_set(unpack.decompress(x), like.words)
-                other = shingle_set(unpack.decompress(y), like.words)
+            for i, (a, b, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                mine, other = set_of(a, x), set_of(b, y)
                 both = common(mine, other)
                 if 100 * both >= like.percent * (len(mine) + len(other) - both):
                     keep.append(i)
@@ -216,6 +231,12 @@ def alike(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, struct(a=LONG, b=LONG))
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame, one: DataFrame) -> DataFrame:
+    """(node, text) of the rows that stand for nodes; one a node, but for repeated rows."""
+    wanted = one.join(nodes, "node").select("node", F.col("doc_id").alias("id"), F.col("d").alias("h"))
+    return docs.join(wanted, docs.doc_id.eqNullSafe(F.col("id")) & (docs.d == F.col("h"))).select("node", "text")
+
+
 def packed_texts(docs: DataFrame, nodes: DataFrame, one: DataFrame) -> DataFrame:
     """(node, z) of nodes: the text of the row that stands for each, compressed before it is shuffled."""
 
@@ -227,9 +248,7 @@ def packed_texts(docs: DataFrame, nodes: DataFrame, one: DataFrame) -> DataFrame
                 z = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], names=["node", "z"])
 
-    wanted = one.join(nodes, "node").select("node", F.col("doc_id").alias("id"), F.col("d").alias("h"))
-    rows = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("id")) & (docs.d == F.col("h"))).select("node", "text")
-    return rows.mapInArrow(run, struct(node=LONG, z=BIN)).dropDuplicates(["node"])
+    return texts_of(docs, nodes, one).mapInArrow(run, struct(node=LONG, z=BIN)).dropDuplicates(["node"])
 
 
 def checked(docs: DataFrame, pairs: DataFrame, one: DataFrame, like: Likeness) -> DataFrame:
@@ -251,55 +270,146 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
 
     def first_of(df: DataFrame, *key: str) -> DataFrame:
         w = Window.partitionBy(*key).orderBy("node")
-        df = df.select("*", F.first("node").over(w).alias("hub"), F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
-        return df.filter("before is null or before <> node")
+        df = df.withColumn("before", F.lag("node").over(w)).filter("before is null or before <> node")
+        return df.select("*", F.first("node").over(w).alias("hub"), F.lead("node").over(w).alias("after"))
 
-    marked = first_of(tokens, "token", "part").withColumn("single", F.expr("node = hub and (after is null or after = node)"))
+    marked = first_of(tokens, "token", "part").withColumn("single", F.expr("node = hub and after is null"))
     found = materialize(marked.filter("split or not single").select("token", "node", "at", "hub", "split", (F.col("node") == F.col("hub")).alias("heads")), "found")
     heads = first_of(found.filter("split and heads").select("token", "node", "at"), "token").filter("node <> hub or after is not null").select("token", "node", "at", "hub")
     return found.select("token", "node", "at", "hub").unionByName(heads)
 
 
+def can_be_alike(a: str, b: str, like: Likeness) -> F.Column:
+    return 100 * F.least(a, b) >= like.percent * F.greatest(a, b)
+
+
+def placed_in(found: DataFrame, group: DataFrame | None) -> DataFrame:
+    """Rows of found with their node's component so far."""
+    if group is None:
+        return found.withColumn("component", F.col("node"))
+    return found.join(group.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def joined(docs: DataFrame, found: DataFrame, one: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """Components and verified edges after rounds of looking at one hub a node."""
+    group, edges = None, None
+    # the hub of a token is a node few of whose tokens are its own, as the original of many copies is
+    shared = found.groupBy("node").agg(F.count("*").alias("c")).join(one.select("node", "p"), "node").select("node", (-F.floor(20 * F.col("c") / F.col("p"))).alias("own"))
+    found = materialize(found.select("token", "node").join(shared, "node"), "hubs")
+    of_hub = one.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"))
+    for r in range(ROUNDS):
+        placed = placed_in(found, group)
+        if group is not None:
+            placed = materialize(placed, "placed")
+        hub = F.min_by(F.struct("node", "component"), F.struct("own", F.xxhash64("node", F.lit(r))))
+        hubs = placed.groupBy("token").agg(hub.alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+        near = placed.join(hubs.select("token", "h"), "token").filter("component <> h.component").groupBy("node", F.col("h.node").alias("hub")).agg(F.count("*").alias("c"))
+        best = near.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"), F.max("c").alias("c"))
+        # a hub with a third of the prefix's tokens is worth a look now
+        star = best.join(one.select("node", "n", "p"), "node").filter("3 * c >= p").join(of_hub, "hub").filter(can_be_alike("n", "n_hub", like))
+        star = materialize(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), "star")
+        got = checked(docs, star, one, like)
+        edges = got if edges is None else edges.unionByName(got)
+        group = components(edges)
+        if 10 * got.count() <= star.count():
+            break
+    return group, edges
+
+
+def counted(found: DataFrame, group: DataFrame, one: DataFrame) -> DataFrame:
+    """Rows of tokens with nodes of several components; few: whether their node meets at most FEW others in them."""
+    placed = materialize(placed_in(found, group).select("token", "node", "at", "component"), "placed")
+    often = placed.groupBy("token").agg(F.count("*").alias("times"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    rows = materialize(placed.join(often.select("token", "times"), "token").dropDuplicates(["token", "node"]), "apart")
+    cost = rows.groupBy("node").agg((F.sum(F.col("times") - 1) <= FEW).alias("few"))
+    return materialize(rows.join(cost, "node").join(one.select("node", "n", "l", "p", "end"), "node"), "rest")
+
+
+def few_candidates(rest: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): pairs of which one has few candidates, that can still be alike by the tokens they share."""
+    own = ("node", "at", "n", "l", "p", "end", "component", "few")
+    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in own]) for s in "ab")
+    pairs = x.filter("few_a").join(y, "token").filter("component_a <> component_b and (not few_b or node_a < node_b)").filter(can_be_alike("n_a", "n_b", like))
+    # of a's and b's tokens up to the end of the first of the two prefixes c are shared, the others are not
+    passed = [F.when(F.col(f"end_{s}") <= F.col(f"end_{t}"), F.col(f"p_{s}")).otherwise(F.col(f"at_{s}") + 1) for s, t in ("ab", "ba")]
+    left = [F.min(F.col(f"n_{s}") - k).alias(f"left_{s}") for s, k in zip("ab", passed, strict=True)]
+    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("c"), F.first(F.least("l_a", "l_b")).alias("l"), *left)
+    most = F.col("c") + F.least("left_a", "left_b")
+    pairs = pairs.filter("c >= l").filter((100 + like.percent) * most >= like.percent * (F.col("n_a") + F.col("n_b")))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+#: size: class of set sizes, such that sets that can be alike are in one class or in neighbouring ones; k, k_less: the
+#: shared tokens that a pair has at least whose smaller set is in this class, in the one before
+LONGER = struct(node=LONG, n=LONG, size=INT, k=INT, k_less=INT, prefix=T.ArrayType(LONG), parts=T.ArrayType(INT))
+
+
+def longer_prefixes(texts: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
+    ratio = math.log(100 / like.percent * (1 + 1e-6))
+
+    def match_of(size: int) -> int:
+        n = math.ceil(math.exp(size * ratio) - 1e-9)
+        return max(1, n - like.least(n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, counts = shared.value
+        frequency = np.ones(1 << CELL_BITS, np.int64)
+        frequency[cells] = counts
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                out = []
+                for node, text in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns), strict=True):
+                    s = shingle_set(text, like.words)
+                    seen = frequency[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                    size = math.floor(math.log(len(s)) / ratio + 1e-12)
+                    k = match_of(size)
+                    p = np.argsort(seen, kind="stable")[: len(s) - like.least(len(s)) + k]
+                    out.append((node, len(s), size, k, min(k, match_of(size - 1)), s[p].view(np.int64).tolist(), (1 + seen[p] // ROWS_A_PART).tolist()))
+                if out:
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=LONGER.names)
+
+    return texts.mapInArrow(run, LONGER)
+
+
+def many_candidates(docs: DataFrame, rest: DataFrame, group: DataFrame, one: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(a, b): pairs of nodes with many candidates each that share one of the tokens that their longer prefixes keep."""
+    nodes = rest.filter("not few").select("node").distinct()
+    rows = materialize(longer_prefixes(texts_of(docs, nodes, one), like, hot), "longer")
+    found = shared_tokens(rows).select("token", "node").distinct()
+    times = found.groupBy("token").agg(F.count("*").alias("times"))
+    ranked = found.join(times, "token").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), F.desc("token"))))
+    sizes = rows.select("node", "n", "size", "k", "k_less").dropDuplicates(["node"])
+    kept = materialize(placed_in(ranked.join(sizes, "node").filter("rank >= k_less"), group), "kept")
+    own = ("node", "n", "size", "component")
+    x = kept.filter("rank >= k").select("token", F.col("size").alias("at"), *[F.col(c).alias(f"{c}_a") for c in own])
+    at = F.when(F.col("rank") >= F.col("k"), F.array("size", F.col("size") - 1)).otherwise(F.array(F.col("size") - 1))
+    y = kept.select("token", F.explode(at).alias("at"), *[F.col(c).alias(f"{c}_b") for c in own])
+    pairs = x.join(y, ["token", "at"]).filter("component_a <> component_b and (size_a <> size_b or node_a < node_b)").filter(can_be_alike("n_a", "n_b", like))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row, and text_hash, which with the id tells rows of one id apart."""
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("d"), text.alias("text"))
-    rows = materialize(prefixes(docs, like, hot_cells(docs, like)), "prefixes")
+    hot = hot_cells(docs, like)
+    rows = materialize(prefixes(docs, like, hot), "prefixes")
     some = rows.filter("n > 0")
     by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "d")
     one = materialize(some.groupBy("node").agg(F.min(by_id).alias("s"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("p").alias("p"), F.first(F.struct("end", "last")).alias("end")).select("node", F.col("s.doc_id").alias("doc_id"), F.col("s.d").alias("d"), "n", "l", "p", "end"), "nodes")
     found = shared_tokens(rows)
-    sizes = one.select("node", "n", "l", "p", "end")
-
-    def can_be_alike(a: str, b: str) -> F.Column:
-        return 100 * F.least(a, b) >= like.percent * F.greatest(a, b)
-
-    # a node that heads a third of the prefix's tokens is worth a look now; others wait for the second step
-    near = found.filter("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("c"))
-    best = near.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"), F.max("c").alias("c"))
-    of_hub = sizes.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"))
-    star = best.join(sizes, "node").filter("3 * c >= p").join(of_hub, "hub").filter(can_be_alike("n", "n_hub"))
-    edges = checked(docs, materialize(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), "star"), one, like)
-    group = components(edges)
-
-    placed = materialize(found.select("token", "node", "at").join(group.select(F.col("id").alias("node"), "component"), "node", "left").select("token", "node", "at", F.coalesce("component", "node").alias("component")), "placed")
-    apart = materialize(placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token"), "apart")
-    # sizes within a factor that can be alike are in one class of sizes or in neighbouring ones
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / like.percent) * 1.000001)).cast("int")
-    rest = materialize(placed.join(apart, "token", "left_semi").dropDuplicates(["token", "node"]).join(sizes, "node").withColumn("size", step), "rest")
-    own = ("node", "at", "n", "l", "p", "end", "component")
-    x = rest.select("token", "size", *[F.col(c).alias(f"{c}_a") for c in own])
-    y = rest.select("token", F.explode(F.array("size", F.col("size") - 1)).alias("size"), F.col("size").alias("own"), *[F.col(c).alias(f"{c}_b") for c in own])
-    pairs = x.join(y, ["token", "size"]).filter("component_a <> component_b and (own <> size or node_a < node_b)").filter(can_be_alike("n_a", "n_b"))
-    # of a's and b's tokens up to the end of the first of the two prefixes c are shared, the others are not
-    passed = [F.when(F.col(f"end_{s}") <= F.col(f"end_{t}"), F.col(f"p_{s}")).otherwise(F.col(f"at_{s}") + 1) for s, t in ("ab", "ba")]
-    left = [F.min(F.col(f"n_{s}") - k).alias(f"left_{s}") for s, k in zip("ab", passed, strict=True)]
-    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("c"), F.first(F.least("l_a", "l_b")).alias("l"), *left)
-    most = F.col("c") + F.least("left_a", "left_b")
-    pairs = pairs.filter("c >= l").filter((100 + like.percent) * most >= like.percent * (F.col("n_a") + F.col("n_b")))
-    more = checked(docs, materialize(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs"), one, like)
+    group, edges = joined(docs, found, one, like)
+    rest = counted(found, group, one)
+    pairs = few_candidates(rest, like).unionByName(many_candidates(docs, rest, group, one, like, hot))
+    more = checked(docs, materialize(pairs, "pairs"), one, like)
     if not more.isEmpty():
-        group = components(edges.unionByName(more))
+        # the components so far stand for their nodes: many links between two of them are one
+        at = group.select("id", "component")
+        ends = more.join(at.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(at.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
+        between = ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct()
+        group = components(edges.unionByName(between))
 
     label = one.select("node", "doc_id").join(group.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     label = materialize(label, "classes")
