@@ -3,6 +3,8 @@ rows, no rows, and extra columns with clashing names."""
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -179,11 +181,59 @@ def test_pii(spark, none):
     assert got[1] == "email:5:14,email:20:25" and got[2] == "ip:0:7,ip:8:15,ip:26:38" and got[3] == "card:5:24"
     assert got[4] == "phone:5:22" and got[5] == "iban:5:27" and got[6].startswith("local_phone:6:18")
     assert got[7] == got[8] == got[9] == "" and got[10] == "email:5:11"
+    assert pii.report(df).filter("doc_id = 9").head().best_score is None
     assert {r.doc_id: r.text for r in pii.redact(df).collect()}[3] == "card [CARD], 4111-1111-1111-1112"
     assert pii.redact(df).columns == df.columns and pii.redact(df).filter("doc_id = 7").head().text is None
     assert pii.report(none).count() == 0
 
 
+def luhn(digits):
+    total = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits))))
+    return total % 10 == 0
+
+
+def base_spans(text):
+    """The stated patterns, run plainly."""
+    tests = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(p) <= 255 for p in v.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda v: 12 <= len(re.sub("[^0-9]", "", v)) <= 19 and luhn(re.sub("[^0-9]", "", v))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 9 <= len(re.sub("[^0-9]", "", v)) <= 15),
+    ]
+    found = [(m.start(), k, name, m.end()) for k, (name, pattern, ok) in enumerate(tests) for m in re.finditer(pattern, text) if ok(m.group())]
+    return sorted(found)
+
+
+def test_pii_base_kinds_against_the_plain_patterns(spark):
+    rng, texts = random.Random(6), [r[1] for r in ROWS]
+    bits = ["a.b@c.d", "@", ".", "-", " ", "+1 (415) 555-2671", "10.0.0.1", "256.1.2.3", "4111 1111 1111 1111", "4111111111111112", "5500-0000-0000-0004", "7", "🙂", "é", "x", "(", ")", "+", "\n", "DE89370400440532013000", "1.2.3.4.5"]
+    texts += ["".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.report(df).collect():
+        want = base_spans(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{n}:{a}:{b}" for a, _, n, b in want).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(n == k for _, _, n, _ in want) for k in ("email", "ip", "card", "phone"))
+
+
+def test_pii_context_turns_a_score_both_ways(spark):
+    key, social, phone, iban = "0123456789abcdef" * 2, "123-45-6789", "415-555-2671", "DE89370400440532013000"
+    texts = [f"token = {key}", f"commit {key}", f"ssn {social}", f"order {social}", f"phone {phone}", f"part {phone}", f"pay to {iban}", f"sample {iban}", "ssn 666-12-3456", "token " + "a" * 40]
+    got = [r.n_other for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [1, 0, 1, 0, 1, 0, 1, 0, 0, 0]
+
+
+def test_pii_of_very_many_spans(spark):
+    n = 16_000
+    text = " ".join(f"é{i}@mail.example" for i in range(n)) + " 🙂"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    started = time.time()
+    row = pii.report(df).head()
+    assert row.n_email == n and row.spans.split(",")[0] == "email:1:15" and time.time() - started < 20
+    assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in base_spans(text)).encode()).hexdigest()
+    started = time.time()
+    assert pii.redact(df).head().text == re.sub(r"[0-9]+@mail.example", "[EMAIL]", text) and time.time() - started < 20
+
+
 @pytest.mark.parametrize("length", [400, 40])
 def test_suffix_dedup(docs, none, length):
     data = [(r[0], (r[1] or "").encode()) for r in ROWS]
