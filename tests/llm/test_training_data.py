@@ -54,13 +54,38 @@ def test_pieces_match_the_library(docs, none):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    encoded = pieces.encode(docs, path)
+    encoded = pieces.encode(docs, path, merges=True)
     got = Counter((r.doc_id, bytes(r.ids)) for r in encoded.collect())
     assert got == Counter((r[0], np.array(sp.encode(r[1] or ""), "<u4").tobytes()) for r in ROWS)
     assert Counter((r.doc_id, r.text) for r in pieces.decode(encoded, path).collect()) == Counter((r[0], r[1] or "") for r in ROWS)
     assert pieces.round_trip(none, path).count() == 0
 
 
+def test_pieces_of_a_model_file_are_the_best_path(docs):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = pieces.load(path)
+    longest = max(map(len, model.id_of))
+
+    def best(text):  # plain dynamic programme over all pieces, without words, cache or automaton
+        worth = [0.0] + [-np.inf] * len(text)
+        for end in range(1, len(text) + 1):
+            worth[end] = worth[end - 1] + model.missing
+            for n in range(1, min(longest, end) + 1):
+                i = model.id_of.get(text[end - n : end])
+                if i is not None:
+                    worth[end] = max(worth[end], worth[end - n] + model.pieces[i][1])
+        return worth[-1]
+
+    got = pieces.encode(docs, path).collect()
+    texts = {r[0]: r[1] for r in ROWS if r[0] is not None}
+    for r in got:
+        if r.doc_id is not None and len(texts[r.doc_id] or "") < 3000:
+            text = texts[r.doc_id]
+            assert r.score == pytest.approx(best("▁" + text.replace(" ", "▁")) if text else 0.0)
+    back = pieces.decode(pieces.encode(docs, path), path)
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r[0], r[1] or "") for r in ROWS)
+
+
 def test_pieces_by_score_are_the_best_path():
     table = [("<unk>", 0.0), ("▁", -3.0), ("a", -2.0), ("b", -2.5), ("ab", -3.1), ("ba", -3.4), ("aba", -5.0), ("▁a", -3.5)]
     model = pieces.Pieces(table, 0, None, list(range(1, 8)), merges=False)
@@ -393,7 +418,6 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     got = packing.pack_documents(docs, BPE).toPandas()
     want = Counter()
     for r in ROWS:
@@ -404,9 +428,35 @@ def test_packing(docs, none):
     assert Counter((None if r[0] != r[0] else int(r[0]), *map(int, r[1:])) for r in got[cols].itertuples(index=False)) == want
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == (g["length"].cumsum() - g["length"]).tolist() and g["length"].sum() <= 2048
+    sequences = got.groupby("sequence_id")["length"].sum()
+    assert len(sequences) <= -(-got["length"].sum() // 2048) + 1
     assert packing.pack_documents(none, BPE).count() == 0
 
 
+def test_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    rng, tok, fast = random.Random(9), Tokenizer.from_file(BPE), packing.FastTokenizer(BPE)
+    bits = ["a", "the", " ", "  ", "\n", "\t", "'s", "12", "é", "🙂", "\u0301", "<|endoftext|>", "<|", "...", "\u3000", "\x00"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(500)] + [r[1] or "" for r in ROWS] + ["a<|endoftext|>b", "a" * 5000]
+    assert fast.ranks is not None
+    assert fast.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert np.frombuffer(fast.encode(["a<|endoftext|>b"])[0], "<u4").tolist() == [64, 50256, 65]
+
+
+def test_every_capacity_changes_the_packing():
+    lengths = np.random.default_rng(5).integers(1, 900, 600)
+    plain = packing.best_fit(lengths, packing.Capacity(2048, 2048, None, (1.0, 0.0, 0.0)))[0]
+    for other in (packing.Capacity(), packing.Capacity(2048, 4), packing.Capacity(2048, 512, 900_000.0), packing.Capacity(rule="dot")):
+        assert (packing.best_fit(lengths, other)[0] != plain).any()
+
+
+def test_equal_rows_are_packed_in_several_groups(spark):
+    df = spark.createDataFrame([(7, "one two three " * 40)] * 9000, "doc_id long, text string")
+    sizes = packing.pack_documents(df, BPE).selectExpr("sequence_id >> 32 as g").groupBy("g").count().collect()
+    assert sum(r["count"] for r in sizes) == 9000 and len(sizes) == 3 and max(r["count"] for r in sizes) < 5000
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_respects_every_capacity(rule):
     lengths = np.random.default_rng(0).integers(1, 100, 400)

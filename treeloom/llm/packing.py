@@ -1,22 +1,25 @@
 """Best-fit packing of tokenised documents into fixed-length training sequences.
 
-Documents are tokenised where they are read; only piece lengths and checksums are shuffled. Pieces are dealt by
-hash into groups of a bounded number of documents, and each group is packed by vector best-fit: items in
-decreasing length, each put into the feasible bin that the chosen rule likes best. Every group leaves about one
-bin partly empty, so the waste is a fixed small share and the work is linear in the input.
-
-Null text counts as empty (one separator token). Repeated rows are packed each on its own. An empty table gives an
-empty result. Columns other than the id and the text are ignored, so clashing names do no harm.
+Documents are tokenised where they are read; only piece lengths and checksums are kept, in a table, and shuffled.
+Pieces are dealt by hash into groups of a bounded number of pieces, equal rows each on its own, and each group is
+packed by vector best-fit: items in decreasing length, each put into the feasible bin that the chosen rule likes best
+by its residual tokens, documents and attention cost (the sum of squared lengths). Every group leaves about one bin
+partly empty, so the waste is a fixed small share and the work is linear in the input.
+
+Null text counts as empty (one separator token). Very long texts are tokenised whole and cut. Repeated rows are packed
+each on its own; pieces of equal length go in order of id, piece and checksum. An empty table gives an empty result.
+Columns other than the id and the text are ignored, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,86 +27,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INT, LONG, groups_for, struct
+from .common import INT, LONG, groups_for, materialize, struct
 
-PIECES = struct(doc_id=LONG, piece=INT, start=LONG, length=LONG, ids_crc32=LONG)
+#: times: how many equal rows the task has had before
+PIECES = struct(doc_id=LONG, piece=INT, start=LONG, length=LONG, ids_crc32=LONG, times=INT)
 PACKED = struct(doc_id=LONG, piece=INT, start=LONG, length=LONG, ids_crc32=LONG, sequence_id=LONG, offset=LONG)
 
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence may hold. The default document and attention limits never bind beyond the token limit."""
+    """What one sequence may hold: tokens, documents, and attention cost, by default that of one full piece.
+
+    weights say how much each residual, as a share of its capacity, counts in the choice of a bin.
+    """
 
     tokens: int = 2048
-    documents: int | None = None
+    documents: int = 64
     attention: float | None = None
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"  # or "dot"
 
     def vector(self) -> np.ndarray:
-        return np.array([self.tokens, self.documents or self.tokens, self.attention or float(self.tokens) ** 2], dtype=np.float64)
+        return np.array([self.tokens, self.documents, self.attention or float(self.tokens) ** 2], dtype=np.float64)
 
 
-class WordTokenizer:
-    """Byte-level BPE ids of whole texts, with a bounded cache of words.
+class FastTokenizer:
+    """Ids of whole texts, as the tokenizers library gives them for a byte-level BPE file.
 
-    The vocabulary's pre-tokeniser always breaks before a single blank that stands between two other characters,
-    on both sides of a lone line break, and between letters and the marks after them. So a text's ids are those of
-    its words put together, and a word of letters alone goes straight to the BPE model. A text with other white
-    space is encoded in one piece.
+    Where the file's merges are in order of their ids, the same vocabulary as ranks gives the same ids at several times
+    the speed; texts with an added token's string, which the library cuts out first, and other files go to the library.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.limit, self.cache = cache_words, {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def _letters(self, word: str) -> bytes:
-        ids = self.ids
-        return b"".join([ids[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
-
-    def _learn(self, words: set[str]) -> None:
-        cache, rest = self.cache, []
-        for w in words:
-            stem = w.rstrip(".,")
-            if (stem[1:] if stem[:1] == " " else stem).isalpha():
-                tail = w[len(stem) :]
-                if tail and tail not in cache:
-                    cache[tail] = self._bytes([tail])[0]
-                if stem not in cache:
-                    cache[stem] = self._letters(stem)
-                if tail:
-                    cache[w] = cache[stem] + cache[tail]
-            else:
-                rest.append(w)
-        cache.update(zip(rest, self._bytes(rest), strict=True))
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        vocab, merges = parts["model"]["vocab"], parts["model"]["merges"]
+        self.added = [t["content"] for t in parts["added_tokens"]]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        self.ranks = None
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        if parts["pre_tokenizer"] == plain and parts["normalizer"] is None and made == sorted(made):
+            back = {v: k for k, v in byte_letters().items()}
+            ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if t not in self.added}
+            self.ranks = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut, whole = [], []
-        for i, t in enumerate(texts):
-            if _plain(t):
-                cut.append((i, t.replace("\n", " \n ").replace(" ", "\x00 ").replace("\x00 \n\x00 ", "\x00\n\x00").split("\x00")))
+        out = []
+        for t in texts:
+            if self.ranks is not None and not any(a in t for a in self.added):
+                ids = self.ranks.encode_ordinary(t)
             else:
-                whole.append(i)
-        if len(self.cache) > self.limit:  # the words met first are mostly the common ones
-            self.cache = dict(islice(self.cache.items(), self.limit // 2))
-        cache = self.cache
-        self._learn({w for _, ws in cut for w in ws if w not in cache})
-        out: list[bytes] = [b""] * len(texts)
-        for i, ws in cut:
-            out[i] = b"".join([cache[w] for w in ws])
-        for i, ids in zip(whole, self._bytes([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+            out.append(np.fromiter(ids, "<u4", len(ids)).tobytes())
         return out
 
 
@@ -115,15 +97,9 @@ def byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=1)
-def worker_tokenizer(path: str) -> WordTokenizer:
+def worker_tokenizer(path: str) -> FastTokenizer:
     """One for each Python worker, kept over its tasks."""
-    return WordTokenizer(path)
-
-
-def _plain(text: str) -> bool:
-    """Whether blanks and line breaks stand alone between other characters and no other white space occurs."""
-    parts = text.split()
-    return "\x00" not in text and "\x00".join(parts) == text.replace(" ", "\x00").replace("\n", "\x00")
+    return FastTokenizer(path)
 
 
 def cut_points(n: int, size: int) -> list[tuple[int, int]]:
@@ -135,19 +111,21 @@ def cut_points(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece of each document: doc_id, piece, start, length, ids_crc32."""
+    """One row for each piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(tokenizer_path)
-        end = np.array([separator], dtype="<u4").tobytes()
+        end, met = np.array([separator], dtype="<u4").tobytes(), Counter()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo in range(0, len(ids), 200):
                 rows = []
                 for doc, data in zip(ids[lo : lo + 200], tok.encode(texts[lo : lo + 200]), strict=True):
                     data += end
-                    rows += [(doc, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_points(len(data) // 4, size))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
+                    whole = hash((doc, data))
+                    rows += [(doc, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)]), met[whole]) for k, (s, n) in enumerate(cut_points(len(data) // 4, size))]
+                    met[whole] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=PIECES.names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
 
@@ -190,9 +168,9 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     return bins, offsets
 
 
-def pack(pieces: DataFrame, n_documents: int, capacity: Capacity = Capacity(), group_documents: int = 4096) -> DataFrame:
-    """Adds sequence_id and offset to pieces. Groups are dealt by a hash of the piece's content."""
-    groups = groups_for(n_documents, group_documents)
+def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_pieces: int = 4096) -> DataFrame:
+    """Adds sequence_id and offset to pieces, a table. Groups are dealt by a hash of the piece, and of its place among equal ones."""
+    groups = groups_for(pieces.count(), group_pieces)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
@@ -200,10 +178,10 @@ def pack(pieces: DataFrame, n_documents: int, capacity: Capacity = Capacity(), g
         frame["sequence_id"], frame["offset"] = (int(frame["grp"].iloc[0]) << 32) + bins, offsets
         return frame[PACKED.names]
 
-    grp = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("grp")
+    grp = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "times"), F.lit(groups)).alias("grp")
     return pieces.select("*", grp).groupBy("grp").applyInPandas(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack: one row per piece."""
-    return pack(tokenize_pieces(docs, tokenizer_path, capacity.tokens, 0, id_col, text_col), docs.count(), capacity)
+    return pack(materialize(tokenize_pieces(docs, tokenizer_path, capacity.tokens, 0, id_col, text_col), "pieces"), capacity)

@@ -4,16 +4,19 @@ An Aho-Corasick automaton over the pieces reads a text once. At each position it
 end there, longest first, and each relaxes the position: a single-pass Viterbi. A character that no piece covers
 becomes its UTF-8 byte pieces (or the unknown piece, if the model has none).
 
-For a unigram model a path's worth is its sum of scores (an unknown character: the least score less
-`unknown_penalty`; ties go to the longest piece). For a model of merges a path is allowed if its pieces are what the
-merges make: a sequence is the merged form of its text if and only if each piece is that of its own text and each
-two neighbours are that of theirs. So a step is allowed by its last two pieces, and each position has one best last
-piece. Both give the ids of the sentencepiece library.
+A path's worth is its sum of scores (an unknown character: the least score less `unknown_penalty`; ties go to the
+longest piece). For a unigram model that gives the ids of the sentencepiece library. A model of merges has ranks for
+scores: the best path is then a sequence of few and frequent pieces, which decodes to the same text, but is not always
+what merging pair by pair gives. Those who need the library's ids for such a model ask for `merges`: there a step is
+allowed if its last two pieces are the merged form of their text, and each position has one best last piece (a
+sequence is the merged form of its text if and only if each piece is that of its own text and each two neighbours are
+that of theirs).
 
 Blanks become U+2581 and one stands before the text. No piece spans the start of a word, so words are encoded one by
 one and kept in a bounded cache. decode(encode(text)) is the text, but that U+2581 itself comes back as a blank and
-lone surrogates as replacement characters. Null and empty texts have no pieces. Rows are encoded each; other columns
-are ignored.
+lone surrogates as replacement characters. Null and empty texts have no pieces. Very long texts are encoded whole, in
+one pass. Rows are encoded each, repeated ones alike; an empty table gives an empty one; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -185,22 +188,22 @@ def _words(marked: str) -> list[str]:
     return [*out, marked[lo:]]
 
 
-@lru_cache(maxsize=1)
-def load(path: str) -> Pieces:
-    """Pieces and scores of a SentencePiece model file; one for each Python worker."""
+@lru_cache(maxsize=2)
+def load(path: str, merges: bool = False) -> Pieces:
+    """Pieces and scores of a SentencePiece model file; one for each Python worker. merges: keep to the merged form."""
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     pieces = [(sp.id_to_piece(i), sp.get_score(i)) for i in range(n)]
     byte_ids = {int(pieces[i][0][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
     normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-    return Pieces(pieces, sp.unk_id(), [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else None, normal, all(s == int(s) for _, s in pieces))
+    return Pieces(pieces, sp.unk_id(), [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else None, normal, merges)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, merges: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, ids (little-endian unsigned 32-bit) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(model_path, merges)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -222,11 +225,11 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     return encoded.select(F.col(id_col).cast("long"), F.col(ids_col)).mapInArrow(run, struct(doc_id=LONG, text=STR))
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, merges: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ids, ids_crc32, score, and whether decoding gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(model_path, merges)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
