@@ -412,6 +412,14 @@ def test_language(spark, docs, none):
     assert language.predict(none, net).count() == 0
     assert {r.lang_pred for r in language.predict(docs, language.fit(none)).collect()} == {"und"}
     assert language.keep_known(docs, net, 0.0).columns == docs.columns
+    kept = {r.doc_id for r in language.keep_known(d, net).collect()}
+    assert len(kept) >= 297 and 0.5 < net.least_score < 0.9
+    assert kept == {k for k, r in got.items() if r.score >= net.least_score}
+    mixed = spark.createDataFrame([(1, say("abcdef", 20) + " " + say("uvwxyz", 4)), (2, "ab uv " * 40), (3, "12 34"), (4, None)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in language.predict(mixed, net).collect()}
+    assert {r.doc_id for r in language.keep_known(mixed, net).collect()} == {k for k in (1, 2) if scores[k] >= net.least_score} >= {1}
+    assert language.keep_known(mixed, net, scores[2] + 1e-9 if scores[2] < scores[1] else 1.0).count() <= 1
+    assert {r.doc_id for r in language.keep_known(mixed, None).collect()} == {1, 2}
 
 
 def test_packing(docs, none):

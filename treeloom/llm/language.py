@@ -6,7 +6,9 @@ in numpy by backpropagation through time (Adam), on a bounded sample: about `per
 by a hash of the id, never from the held-out fold. Applying it is one pass over all rows, whole texts, no shuffle.
 
 Null texts and texts without a letter get `und` with score 0.0, as does every row if no label can be learned from.
-Invalid code points are replaced, not dropped. Rows are judged alone; other columns are ignored.
+Invalid code points are replaced, not dropped. Very long texts are read whole. Rows are judged alone, repeated ones
+alike; ties go to the language that comes first in order; an empty table gives an empty one; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -121,6 +123,8 @@ class Network:
     back: Direction
     out: np.ndarray  # 2H x labels
     bias: np.ndarray
+    #: best scores below this are those of texts in no learned language
+    least_score: float = 0.0
 
     def parts(self) -> list[np.ndarray]:
         return [*self.ahead.parts(), *self.back.parts(), self.out, self.bias]
@@ -219,12 +223,22 @@ def encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def fit(docs: DataFrame, per_class: int = 250, **options) -> Network | None:
-    """Trains on the bounded sample; None if there is nothing to learn from."""
+def fit(docs: DataFrame, per_class: int = 250, share: float = 0.55, **options) -> Network | None:
+    """Trains on the bounded sample; None if there is nothing to learn from.
+
+    The bound for rejection lies a `share` of the way from an even guess to the score that 99 % of the sample reach, so
+    a text that is half in one language and half in another stays.
+    """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     rows = training_sample(known, "lang", "doc_id", per_class).collect()
     rows = sorted(((r.doc_id, r.text, r.lang) for r in rows if any(c.isalpha() for c in r.text)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    return train([encode(t) for _, t, _ in rows], [lang for _, _, lang in rows], **options) if rows else None
+    if not rows:
+        return None
+    texts = [encode(t) for _, t, _ in rows]
+    net = train(texts, [lang for _, _, lang in rows], **options)
+    even = 1 / len(net.labels)
+    net.least_score = even + share * max(0.0, float(np.quantile(net.documents(texts).max(axis=1), 0.01)) - even)
+    return net
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,8 +264,9 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     return got.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, net: Network | None, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows, unchanged, whose text has a letter and whose likeliest language has at least least_score."""
+def keep_known(docs: DataFrame, net: Network | None, least_score: float | None = None, text_col: str = "text") -> DataFrame:
+    """The rows, unchanged, whose text has a letter and whose likeliest language has at least least_score, by default the
+    network's own bound. Without a network nothing is known about languages, and all texts with a letter stay."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index(text_col)
 
@@ -264,7 +279,8 @@ def keep_known(docs: DataFrame, net: Network | None, least_score: float = 0.3, t
                 sure = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
                 if sure and model:
                     p = model.documents([encode(texts[i]) for i in sure]).max(axis=1)
-                    sure = [i for i, s in zip(sure, p, strict=True) if s >= least_score]
+                    bound = model.least_score if least_score is None else least_score
+                    sure = [i for i, s in zip(sure, p, strict=True) if s >= bound]
                 if sure:
                     yield part.take(pa.array(sure, pa.int64()))
 

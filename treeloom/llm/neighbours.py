@@ -10,12 +10,15 @@ inner product and near in angle the same. Index, over every vector:
    Nodes with nothing new in their lists have nothing new to compare. Rounds end when less than `changed` of all
    entries are new.
 
-Search, for all queries at once: each keeps a pool of candidates, expands its best few unexpanded nodes by a join
-with the graph, and scores what is new. The best of the pool are scored again on the original vectors, in double
+Search, for all queries at once: each enters at the pivots nearest to it, keeps a pool of candidates, expands its best
+unexpanded nodes by a join with the graph, and scores what is new, until of all queries' best candidates less than
+`changed` are unexpanded. The best of the pool are scored again on the original vectors, in double
 precision. Triples of node, neighbour and score travel packed by block of nodes, in numpy arrays.
 
 Left out, both as queries and as candidates: vectors that are null, zero, of another length than most, or that hold a
-null or non-finite component. Repeated rows of one id and vector are one row; a null id is left out.
+null or non-finite component. Repeated rows of one id and vector are one row; a null id is left out. Ties of score go to
+the smaller id; very long vectors only cost time; an empty table gives an empty result. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BIN, LONG, materialize, struct
 
@@ -50,10 +54,11 @@ class Graph:
     pivots: int = 2048
     parts: int = 64  # at most, that one level deals a cell to
     levels: int = 4
-    expand: int = 40
-    steps: int = 6
-    pool: int = 400
-    rescored: int = 60
+    expand: int = 80
+    steps: int = 30  # at most; changed ends them
+    pool: int = 800
+    rescored: int = 100
+    entries: int = 32  # pivots at which a query starts
 
 
 def longs(x) -> np.ndarray:
@@ -103,12 +108,17 @@ def nodes_of(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("vector") == (usual[0].n if usual else 0)).dropDuplicates(["vec_id", "vector"])
 
 
-def build(nodes: DataFrame, blocks: int, g: Graph) -> DataFrame:
-    """The graph of nodes (id, block, vec): packed triples by block."""
+def pivots_of(nodes: DataFrame, g: Graph) -> pd.DataFrame:
+    """id, vec of a bounded sample of nodes, at most 2 * g.pivots, chosen by a hash."""
     n = nodes.count()
     share = min(1.0, min(g.pivots, max(1, n // (g.cell_rows // 2))) / max(n, 1))
-    picked = nodes.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vec").limit(2 * g.pivots).toPandas()
-    picked = picked if len(picked) else nodes.select("vec").limit(1).toPandas()
+    picked = nodes.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("id", "vec").limit(2 * g.pivots).toPandas()
+    return picked if len(picked) else nodes.select("id", "vec").limit(1).toPandas()
+
+
+def build(nodes: DataFrame, blocks: int, g: Graph, picked: pd.DataFrame | None = None) -> DataFrame:
+    """The graph of nodes (id, block, vec): packed triples by block."""
+    picked = pivots_of(nodes, g) if picked is None else picked
     context = nodes.sparkSession.sparkContext
     pivots = context.broadcast(halves(picked["vec"]))  # at most 2 * g.pivots vectors
     m = min(g.cells, len(picked))
@@ -242,11 +252,23 @@ def linked(graph: DataFrame, blocks: int, g: Graph, only_new: bool = False) -> D
     return graph.mapInPandas(turn, PACKED).groupBy("block").applyInPandas(choose, struct(at=LONG, other=LONG))
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, blocks: int, g: Graph) -> DataFrame:
-    """(q, w): the best nodes found for each query node q, itself among them. queries has id."""
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, blocks: int, g: Graph, picked: pd.DataFrame) -> DataFrame:
+    """(q, w): the best nodes found for each query node q, itself among them. queries has id.
+
+    A query enters the graph at the pivots nearest to it, so no node is asked about by every query.
+    """
     around = materialize(linked(graph, blocks, g).groupBy("at").agg(F.collect_list("other").alias("others")), "around")
     wanted = materialize(nodes.join(queries, "id", "left_semi").select(F.col("id").alias("q"), F.col("vec").alias("qv")), "wanted")
-    entries = [r.id for r in nodes.orderBy(F.xxhash64("id")).select("id").limit(32).collect()]
+    pivots = nodes.sparkSession.sparkContext.broadcast((picked["id"].to_numpy(np.int64), halves(picked["vec"])))  # at most 2 * g.pivots
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x = pivots.value
+        m = min(g.entries, len(ids))
+        for frame in batches:
+            if len(frame):
+                near = np.argpartition(-(halves(frame["qv"])[:, :-1] @ x[:, :-1].T), m - 1, axis=1)[:, :m]
+                frame["others"] = [np.append(ids[row], q) for row, q in zip(near, frame["q"], strict=True)]
+                yield frame[["q", "qv", "others"]]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -310,10 +332,22 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, blocks: int,
         asked = steps.mapInPandas(ask, ASKED)
         return asked.groupBy("block").cogroup(nodes.groupBy("block")).applyInPandas(score, POOL)
 
-    first = wanted.select("q", "qv", F.array(F.col("q"), *[F.lit(e) for e in entries]).alias("others"))
+    first = wanted.mapInPandas(enter, struct(q=LONG, qv=BIN, others=T.ArrayType(LONG)))
     start = first.unionByName(wanted.join(around, wanted.q == around["at"]).select("q", "qv", "others"))
     pool = materialize(scored(start).groupBy("block").applyInPandas(settle, POOL), "pool")
+    def unopened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How many of each query's best candidates are not expanded yet, and how many there are."""
+        for frame in batches:
+            for r in frame.itertuples():
+                a, done = np.frombuffer(r.a, np.int64), np.frombuffer(r.done, np.uint8)
+                edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
+                best = np.arange(len(a)) - np.repeat(edge, np.diff(np.append(edge, len(a)))) < g.rescored
+                yield pd.DataFrame({"open": [int((done[best] == 0).sum())], "all": [int(best.sum())]})
+
     for _ in range(g.steps):
+        left, every = pool.mapInPandas(unopened, struct(open=LONG, all=LONG)).agg(F.sum("open"), F.sum("all")).head()
+        if (left or 0) <= g.changed * (every or 0):
+            break
         open_ = pool.mapInPandas(frontier, struct(q=LONG, w=LONG))
         steps = open_.join(around, open_.w == around["at"]).join(wanted, "q").select("q", "qv", "others")
         pool = materialize(scored(steps).unionByName(pool.mapInPandas(mark, POOL)).groupBy("block").applyInPandas(settle, POOL), "pool")
@@ -346,9 +380,10 @@ def nearest(vectors: DataFrame, query: F.Column, k: int = 20, g: Graph = Graph()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids % blocks), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "block", "vec"])
 
     nodes = materialize(same.select("id", "vector").mapInArrow(to_half, struct(id=LONG, block=LONG, vec=BIN)), "nodes")
-    graph = build(nodes, blocks, g)
+    picked = pivots_of(nodes, g)
+    graph = build(nodes, blocks, g, picked)
     asked = member.filter(query).select(F.col("vec_id").alias("query_id"), "id").dropDuplicates(["query_id", "id"])
-    found = search(nodes, graph, asked.select("id").distinct(), blocks, g)
+    found = search(nodes, graph, asked.select("id").distinct(), blocks, g, picked)
     exact = found.join(same.select(F.col("id").alias("q"), F.col("vector").alias("x")), "q").join(same.select(F.col("id").alias("w"), F.col("vector").alias("y")), "w")
     exact = exact.select("q", "w", F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("score"))
     # of a node's members only the k + 1 smallest ids can be in a list; taken by parts, as one node may have most rows
