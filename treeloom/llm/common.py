@@ -14,14 +14,27 @@ from pyspark.sql import types as T
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
+#: Rows that go to a Python worker at a time. Texts are long, so Spark's default of 10,000 would take tens of MB a batch.
+BATCH, BATCH_ROWS, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batch size, unless somebody chose one."""
+    if spark.conf.get(BATCH, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_ROWS)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; a local one only where none is set (tests, local mode)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -34,6 +47,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared scratch folder and reads it back: cuts lineage, survives lost executors, frees its shuffles."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/treeloom-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")

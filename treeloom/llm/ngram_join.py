@@ -85,7 +85,7 @@ def shingle_hashes(text: str | bytes | None, words: int) -> np.ndarray:
     ws = text.lower().split() if isinstance(text, bytes) else text_words(text)
     if not ws:
         return np.empty(0, np.uint64)
-    if len(_hash_of) > 400_000:
+    if len(_hash_of) > 200_000:
         _hash_of.clear()
     h = np.fromiter(map(_hash_of.__getitem__, ws), np.uint64, len(ws))
     n = max(1, len(h) - words + 1)
@@ -141,7 +141,7 @@ def prefix(tokens: np.ndarray, seen: np.ndarray, like: Likeness) -> tuple[np.nda
     for match in range(1, LONGEST_MATCH + 1):
         if base + match > n:
             break
-        found = float((seen[order[: base + match]] - 1).sum())
+        found = float((seen[order[: base + match]] - 1).sum(dtype=np.int64))
         now = found + 20 * found / match
         if cost is None or now < cost:
             best, cost = match, now
@@ -163,8 +163,8 @@ def prefixes(docs: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, counts = shared.value
-        frequency = np.ones(1 << CELL_BITS, np.int64)
-        frequency[cells] = counts
+        frequency = np.ones(1 << CELL_BITS, np.int32)
+        frequency[cells] = np.minimum(counts, 2**31 - 1)
         met: set[int] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -179,7 +179,7 @@ def prefixes(docs: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.ndarray]
                         p, match = prefix(s, seen, like)
                     if len(p) and node not in met:
                         met.add(node)
-                        firsts.append(s[p].view(np.int64)), parts.append(1 + seen[p] // ROWS_A_PART)
+                        firsts.append(s[p].view(np.int64)), parts.append(1 + seen[p].astype(np.int64) // ROWS_A_PART)
                     else:
                         firsts.append(np.empty(0, np.int64)), parts.append(np.empty(0, np.int64))
                     ns.append(len(s)), nodes.append(node), ls.append((match, len(p), int(seen[p[-1]]), int(s[p[-1]]) - (1 << 63)) if len(p) else (0, 0, 0, 0))
@@ -210,7 +210,7 @@ def alike(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
             nonlocal held
             got = sets.get(node)
             if got is None:
-                if held > 4_000_000:
+                if held > 1_000_000:
                     sets.clear()
                     held = 0
                 got = sets[node] = shingle_set(unpack.decompress(z), like.words)
@@ -354,8 +354,8 @@ def longer_prefixes(texts: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, counts = shared.value
-        frequency = np.ones(1 << CELL_BITS, np.int64)
-        frequency[cells] = counts
+        frequency = np.ones(1 << CELL_BITS, np.int32)
+        frequency[cells] = np.minimum(counts, 2**31 - 1)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 out = []

@@ -278,6 +278,6 @@ _hash_of = WordHashes()
 
 def word_codes(text: str | None) -> np.ndarray:
     ws = text_words_kept(text)
-    if len(_hash_of) > 400_000:
+    if len(_hash_of) > 200_000:
         _hash_of.clear()
     return np.fromiter(map(_hash_of.__getitem__, ws), np.uint64, len(ws))
