@@ -2,7 +2,7 @@
 
 Where all trees have the same labels in the same order the best mapping is the identity: inner nodes cost nothing and
 each leaf pair its weight times its sharpened cost. So the distance is one Column, with no dynamic programming.
-The general distance of trees of different shapes exists at unit costs only, over HTML tags (operators.trees).
+Trees of different shapes go through operators.weighted, HTML tags at unit costs through operators.trees.
 """
 
 from __future__ import annotations
