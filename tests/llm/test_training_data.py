@@ -196,6 +196,37 @@ def test_ngram_join(docs, none, n, percent):
     assert ngram_join.classes(none, ngram_join.Likeness(n, percent)).count() == 0
 
 
+@pytest.mark.parametrize("edits", [(2, 4), (4, 7)])
+def test_ngram_join_of_near_copies_that_are_not_alike(spark, edits):
+    """Copies of two texts, edited at few places in few ways: pairs are alike only if they share edits; many are just at the bound."""
+    rng, rows = random.Random(5), []
+    for k in range(2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        places = rng.sample(range(150), 24)
+        for i in range(170):
+            words = list(base)
+            for at in rng.sample(places, rng.randint(*edits)):
+                words[at] = f"x{rng.randrange(3)}"
+            if i % 3 == 0:
+                words[rng.randrange(150)] = f"y{i}"
+            rows.append((k * 1000 + i, " ".join(words)))
+    sets = {i: shingles(t, 3) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 100 * len(a & b) >= 90 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Likeness(3, 90)).collect()}
+    assert 2 < len(set(got.values())) and got == {i: root(i) for i in sets}
+
+
 def test_pii(spark, none):
     texts = [
         (1, "mail a.b@c.d.e, x@y a@b.c@d.e"), (2, "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255"), (3, "card 4111 1111 1111 1111, 4111-1111-1111-1112"), (4, "call +1 (415) 555-2671. or +12"),

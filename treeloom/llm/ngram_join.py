@@ -16,7 +16,9 @@ nodes, in three steps, each of which looks only at tokens whose nodes lie in dif
    tokens up to the end of the prefix that ends first are known, so those of them that are not shared bound a pair.
 3. The other nodes get a longer prefix, about twice the first, of which a partner shares at least l tokens, l about a
    half. So each may leave out the l - 1 tokens that most nodes have, by exact count, and still meets every partner
-   in one of the rest: a passage that many documents share makes no candidates by itself.
+   in one of the rest: a passage that many documents share makes no candidates by itself. Near copies of one text
+   that are not alike among themselves share nearly all tokens; so nodes with one hub meet by the tokens in which they
+   differ from it, of which alike nodes share nearly all, the rarest ones included.
 
 So no link that matters is lost. For verification compressed texts travel, which are a third of the sets' size; they
 are cut into sets again where both meet.
@@ -373,8 +375,71 @@ def longer_prefixes(texts: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.
     return texts.mapInArrow(run, LONGER)
 
 
+def hubs_of(kept: DataFrame) -> DataFrame:
+    """(node, hub): of the hubs of its tokens one that many nodes have, so that near copies of one text have the same."""
+    hubs = kept.groupBy("token").agg(F.min_by("node", F.xxhash64("node")).alias("hub"))
+    near = materialize(kept.select("token", "node").join(hubs, "token").groupBy("node", "hub").agg(F.count("*").alias("c")), "near")
+    members = near.groupBy("hub").agg(F.count("*").alias("members"))
+    most = F.max("c").over(Window.partitionBy("node"))
+    likely = near.join(members, "hub").withColumn("most", most).filter("3 * c >= most")
+    return likely.groupBy("node").agg(F.max_by("hub", F.struct("members", "hub")).alias("hub"))
+
+
+#: tokens: those that only one of node and hub has
+DIFFERENCES = struct(hub=LONG, node=LONG, n=LONG, n_hub=LONG, tokens=T.ArrayType(LONG))
+
+
+def differences(near: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """DIFFERENCES of the rows (node, hub) of near whose sets differ by no more tokens than the node has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, last, h = zstandard.ZstdDecompressor(), None, np.empty(0, np.uint64)
+        for batch in batches:
+            out = []
+            for hub, node, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hub != last:
+                    last, h = hub, shingle_set(unpack.decompress(x), like.words)
+                s = shingle_set(unpack.decompress(y), like.words)
+                d = np.setxor1d(h, s, assume_unique=True)
+                if len(d) <= len(s):
+                    out.append((hub, node, len(s), len(h), d.view(np.int64)))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=DIFFERENCES.names)
+
+    x = texts.select(F.col("node").alias("hub"), F.col("z").alias("x"))
+    y = texts.select("node", F.col("z").alias("y"))
+    return near.join(y, "node").join(x, "hub").select("hub", "node", "x", "y").mapInArrow(run, DIFFERENCES)
+
+
+def around_hubs(found: DataFrame, group: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): pairs of a hub and a node alike to it, and pairs of one hub's nodes that can be alike by their differences.
+
+    Two sets differ by as many tokens as their differences to a third do. If no token of the differences is shared,
+    alike nodes are both alike to the hub, so both have that link. Otherwise the first shared token, the rarest ones
+    of a hub coming first, tells that all before it are not shared.
+    """
+    bound = lambda s, n: (100 + like.percent) * s <= (100 - like.percent) * n
+    c = F.col
+    rows = placed_in(found.withColumn("r", F.size("tokens").cast("long")), group).withColumn("linked", bound(c("r"), c("n") + c("n_hub")))
+    links = rows.filter("linked").select(c("hub").alias("a"), c("node").alias("b"))
+    tokens = materialize(rows.select("hub", F.explode("tokens").alias("token"), "node", "n", "r", "component", "linked"), "differences")
+    times = tokens.groupBy("hub", "token").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "token")) - 1
+    first = tokens.join(times, ["hub", "token"]).withColumn("at", place)
+    first = materialize(first.filter("times > 1").filter(bound(like.percent * c("at"), (100 + like.percent) * c("n"))), "first")
+    own = ("node", "n", "r", "at", "component", "linked")
+    x, y = (first.select("hub", "token", *[c(k).alias(f"{k}_{s}") for k in own]) for s in "ab")
+    differ = c("at_a") + c("at_b") + F.abs(c("r_a") - c("at_a") - c("r_b") + c("at_b"))
+    pairs = x.join(y, ["hub", "token"]).filter("node_a < node_b and component_a <> component_b and not (linked_a and linked_b)").filter(bound(differ, c("n_a") + c("n_b")))
+    return links.unionByName(pairs.select(c("node_a").alias("a"), c("node_b").alias("b")).distinct())
+
+
 def many_candidates(docs: DataFrame, rest: DataFrame, group: DataFrame, one: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(a, b): pairs of nodes with many candidates each that share one of the tokens that their longer prefixes keep."""
+    """(a, b): pairs of nodes with many candidates each that share one of the tokens that their longer prefixes keep.
+
+    Pairs of nodes with the same hub are found by what they do not share with it instead.
+    """
     nodes = rest.filter("not few").select("node").distinct()
     rows = materialize(longer_prefixes(texts_of(docs, nodes, one), like, hot), "longer")
     found = shared_tokens(rows).select("token", "node").distinct()
@@ -382,12 +447,16 @@ def many_candidates(docs: DataFrame, rest: DataFrame, group: DataFrame, one: Dat
     ranked = found.join(times, "token").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), F.desc("token"))))
     sizes = rows.select("node", "n", "size", "k", "k_less").dropDuplicates(["node"])
     kept = materialize(placed_in(ranked.join(sizes, "node").filter("rank >= k_less"), group), "kept")
-    own = ("node", "n", "size", "component")
+    near = materialize(hubs_of(kept).filter("node <> hub"), "hubs")
+    ends = near.select("node").unionByName(near.select(F.col("hub").alias("node"))).distinct()
+    apart = materialize(differences(near, packed_texts(docs, ends, one), like), "apart")
+    kept = kept.join(apart.select("node", "hub"), "node", "left").withColumn("hub", F.coalesce("hub", "node"))
+    own = ("node", "n", "size", "component", "hub")
     x = kept.filter("rank >= k").select("token", F.col("size").alias("at"), *[F.col(c).alias(f"{c}_a") for c in own])
     at = F.when(F.col("rank") >= F.col("k"), F.array("size", F.col("size") - 1)).otherwise(F.array(F.col("size") - 1))
     y = kept.select("token", F.explode(at).alias("at"), *[F.col(c).alias(f"{c}_b") for c in own])
-    pairs = x.join(y, ["token", "at"]).filter("component_a <> component_b and (size_a <> size_b or node_a < node_b)").filter(can_be_alike("n_a", "n_b", like))
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = x.join(y, ["token", "at"]).filter("hub_a <> hub_b and component_a <> component_b and (size_a <> size_b or node_a < node_b)").filter(can_be_alike("n_a", "n_b", like))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().unionByName(around_hubs(apart, group, like))
 
 
 def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
