@@ -16,7 +16,7 @@ def cells(rows):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["nation_ted_matrix", "leaf_numeric_cost", "doc_vector_measures", "diff_ops", "silhouette", "dbscan", "quantile_midrank", "weighted_ted", "weighted_ted_script"])
+@pytest.mark.parametrize("name", ["nation_ted_matrix", "leaf_numeric_cost", "doc_vector_measures", "diff_ops", "silhouette", "dbscan", "quantile_midrank", "weighted_ted", "weighted_ted_script", "matrix_slice", "ted_norms", "part_value_ops", "contained_items", "url_spectral_likeness"])
 def test_query_matches_sql(spark, name):
     from treeloom.plans import registry
 
