@@ -18,3 +18,18 @@ e AS (SELECT a, b FROM (SELECT x.doc_id a, y.doc_id b, count(*) met FROM s x JOI
 links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT doc_id, doc_id r FROM n UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = r)
 SELECT n.doc_id, coalesce(any_value(k), 0)::BIGINT n_shingles, min(r) component_id FROM n JOIN reach USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY 1"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATIONS = rf"""WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') ws FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') g FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) i FROM w, (VALUES (1), (2), (3)) t(m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, g, count(*) f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, g, f a, string_split(g, ' ') ws FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT lang, g, a, k, array_to_string(ws[1:k], ' ') x, array_to_string(ws[k + 1:], ' ') y FROM (SELECT *, unnest(range(1, m)) k FROM c)),
+s AS (SELECT k.lang, k.g, a, k, x.f l, y.f r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) score FROM k JOIN f x ON x.lang = k.lang AND x.g = k.x JOIN f y ON y.lang = k.lang AND y.g = k.y),
+o AS (SELECT lang, g, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+z AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') g, max(a) most FROM (SELECT *, unnest([1, 2]) i FROM c WHERE m = 3) GROUP BY ALL),
+e AS (SELECT o.* FROM o LEFT JOIN z USING (lang, g) WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score::BIGINT score FROM e JOIN n USING (lang) QUALIFY rank <= 2000"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, neighbours, ngram_join, oracles, packing, pieces, pii, substring_dedup, suffix_dedup, toxicity
+from . import collocations, fingerprints, language, neighbours, ngram_join, oracles, packing, pieces, pii, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -52,5 +52,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_nearest_neighbours, op4_ngram_join, op5_personal_data, op6_suffix_dedup, op7_substring_dedup, op8_fingerprints, op9_language, op10_best_fit_packing)}
-ORACLES = {"op4_ngram_join": oracles.NGRAM_JOIN, "op7_substring_dedup": oracles.SUBSTRING_DEDUP}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_nearest_neighbours, op4_ngram_join, op5_personal_data, op6_suffix_dedup, op7_substring_dedup, op8_fingerprints, op9_language, op10_best_fit_packing, op11_collocations)}
+ORACLES = {"op4_ngram_join": oracles.NGRAM_JOIN, "op7_substring_dedup": oracles.SUBSTRING_DEDUP, "op11_collocations": oracles.COLLOCATIONS}
