@@ -459,37 +459,53 @@ def many_candidates(docs: DataFrame, rest: DataFrame, group: DataFrame, one: Dat
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().unionByName(around_hubs(apart, group, like))
 
 
+def stand_ins(rows: DataFrame, own: list[F.Column]) -> DataFrame:
+    """(node, doc_id, d, n, ...) of each node: the row of the smallest id that stands for it, and columns that all its rows agree in."""
+    by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "d")
+    best = rows.filter("n > 0").groupBy("node").agg(F.min(by_id).alias("s"), F.first("n").alias("n"), *own)
+    return best.withColumns({"doc_id": F.col("s.doc_id"), "d": F.col("s.d")}).drop("s")
+
+
+def with_links(more: DataFrame, group: DataFrame | None, edges: DataFrame | None) -> DataFrame:
+    """Edges so far and links between the components so far, which stand for their nodes: many links between two of them are one."""
+    if group is None:
+        return more
+    at = group.select("id", "component")
+    ends = more.join(at.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(at.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
+    between = ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct()
+    return edges.unionByName(between)
+
+
+def labelled(rows: DataFrame, one: DataFrame, group: DataFrame | None) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_hash of all rows, and whether a row leads its component."""
+    label = placed_in(one.select("node", "doc_id"), group).select("node", "doc_id", "component")
+    label = materialize(label, "classes")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(first).alias("s"))
+    label = label.join(least, "component").select("node", "component_id", F.col("s.doc_id").alias("lead_id"), F.col("s.node").alias("lead"))
+    label = label.join(one.select(F.col("node").alias("lead"), F.col("d").alias("lead_d")), "lead")
+    out = rows.select("doc_id", "d", "n", "node").join(label, "node", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    leads = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("d") == F.col("lead_d")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("d").alias("text_hash"), leads.alias("leads"))
+
+
 def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row, and text_hash, which with the id tells rows of one id apart."""
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("d"), text.alias("text"))
     hot = hot_cells(docs, like)
     rows = materialize(prefixes(docs, like, hot), "prefixes")
-    some = rows.filter("n > 0")
-    by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "d")
-    one = materialize(some.groupBy("node").agg(F.min(by_id).alias("s"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("p").alias("p"), F.first(F.struct("end", "last")).alias("end")).select("node", F.col("s.doc_id").alias("doc_id"), F.col("s.d").alias("d"), "n", "l", "p", "end"), "nodes")
+    own = [F.first("l").alias("l"), F.first("p").alias("p"), F.first(F.struct("end", "last")).alias("end")]
+    one = materialize(stand_ins(rows, own), "nodes")
     found = shared_tokens(rows)
     group, edges = joined(docs, found, one, like)
     rest = counted(found, group, one)
     pairs = few_candidates(rest, like).unionByName(many_candidates(docs, rest, group, one, like, hot))
     more = checked(docs, materialize(pairs, "pairs"), one, like)
     if not more.isEmpty():
-        # the components so far stand for their nodes: many links between two of them are one
-        at = group.select("id", "component")
-        ends = more.join(at.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(at.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
-        between = ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct()
-        group = components(edges.unionByName(between))
-
-    label = one.select("node", "doc_id").join(group.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    label = materialize(label, "classes")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(first).alias("s"))
-    label = label.join(least, "component").select("node", "component_id", F.col("s.doc_id").alias("lead_id"), F.col("s.node").alias("lead"))
-    label = label.join(one.select(F.col("node").alias("lead"), F.col("d").alias("lead_d")), "lead")
-    out = rows.select("doc_id", "d", "n", "node").join(label, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    leads = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("d") == F.col("lead_d")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("d").alias("text_hash"), leads.alias("leads"))
+        group = components(with_links(more, group, edges))
+    return labelled(rows, one, group)
 
 
 def one_of_each(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

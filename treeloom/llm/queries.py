@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, fingerprints, language, neighbours, ngram_join, oracles, packing, pieces, pii, substring_dedup, suffix_dedup, toxicity
+from . import collocations, fingerprints, hard_negatives, language, neighbours, ngram_join, odd_sketches, oracles, packing, pieces, pii, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -56,5 +56,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.best(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_nearest_neighbours, op4_ngram_join, op5_personal_data, op6_suffix_dedup, op7_substring_dedup, op8_fingerprints, op9_language, op10_best_fit_packing, op11_collocations)}
-ORACLES = {"op4_ngram_join": oracles.NGRAM_JOIN, "op7_substring_dedup": oracles.SUBSTRING_DEDUP, "op11_collocations": oracles.COLLOCATIONS}
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketches.classes(table(spark, sf_dir, "documents"), odd_sketches.Likeness(words=4, percent=80)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_nearest_neighbours, op4_ngram_join, op5_personal_data, op6_suffix_dedup, op7_substring_dedup, op8_fingerprints, op9_language, op10_best_fit_packing, op11_collocations, op12_minhash_dedup, op13_hard_negatives)}
+ORACLES = {"op4_ngram_join": oracles.NGRAM_JOIN, "op7_substring_dedup": oracles.SUBSTRING_DEDUP, "op11_collocations": oracles.COLLOCATIONS, "op12_minhash_dedup": oracles.ODD_SKETCHES, "op13_hard_negatives": oracles.HARD_NEGATIVES}
