@@ -32,7 +32,7 @@ from .ngram_join import mix
 #: Ends of pieces become one word that no text holds, since all its bytes are ends of pieces themselves.
 END = b"."
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", END * 10)
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 750_000
 FILTER_BITS = 1 << 27
 BUCKET = 1 << 15  # bits of one bitmap of Spark's bitmap functions
 SHARD = struct(lang=STR, words=T.ArrayType(STR), ids=BIN, n=LONG)
@@ -132,9 +132,9 @@ def word_hash(lang: str, word: str) -> int:
 
 
 def phrase_hashes(words: np.ndarray, m: int) -> np.ndarray:
-    """Hash of the m words from each place on."""
+    """Hash of the m words from each place on, along the first axis."""
     n = max(0, len(words) - m + 1)
-    out = np.full(n, m, np.uint64)
+    out = np.full((n, *words.shape[1:]), m, np.uint64)
     for k in range(m):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
     return out
@@ -145,16 +145,16 @@ def bit_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def phrase_filter(frequent: DataFrame) -> np.ndarray:
-    """Bitmap of FILTER_BITS bits, set for the phrases of frequent. Only the bitmap, of a fixed size, reaches the driver."""
+def phrase_filter(frequent: DataFrame, m: int) -> np.ndarray:
+    """Bitmap of FILTER_BITS bits, set for the phrases of frequent, of m words each. Only the bitmap, of a fixed size, reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs = []
-            for lang, gram in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ws = np.array([word_hash(lang, w) for w in gram.split(" ")], np.uint64)
-                hs.append(phrase_hashes(ws, len(ws))[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bit_places(np.array(hs, np.uint64))) + 1)], names=["p"])
+            langs, grams = (c.to_pylist() for c in batch.columns)
+            if langs:
+                words = [word_hash(lang, w) for lang, gram in zip(langs, grams, strict=True) for w in gram.split(" ")]
+                h = phrase_hashes(np.array(words, np.uint64).reshape(len(langs), -1).T, m)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bit_places(h)) + 1)], names=["p"])
 
     places = frequent.select("lang", "gram").mapInArrow(run, struct(p=LONG))
     rows = places.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
@@ -195,14 +195,14 @@ def counted(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lan
     spark = docs.sparkSession
     parts = materialize(shards(docs, text_col, lang_col), "shards")
     before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, "2")  # a shard is a row of several MB
+    spark.conf.set(BATCH, "1")  # a shard is a row of several MB
     try:
         known, levels = None, []
         for m in range(1, rules.longest + 1):
             level = shard_counts(parts, m, known).groupBy("lang", "gram").agg(F.sum("f").alias("f")).filter(F.col("f") >= rules.least)
             levels.append(materialize(level.withColumn("m", F.lit(m)), f"phrases-{m}"))
             if m < rules.longest:
-                known = phrase_filter(levels[-1])
+                known = phrase_filter(levels[-1], m)
     finally:
         spark.conf.set(BATCH, before)
     out = levels[0]
