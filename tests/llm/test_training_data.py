@@ -522,3 +522,11 @@ def test_pipeline(spark):
         assert after.columns == docs.columns and after.count() <= before.count()
         before = after
     assert P.STAGES[-1][1](spark, before, "").count() >= before.count()
+
+
+def test_short_documents_fill_sequences(spark):
+    empty = spark.range(10_000).selectExpr("id as doc_id", "cast(null as string) as text")
+    assert packing.pack_documents(empty, BPE).select("sequence_id").distinct().count() <= 5 + 3  # one more a group at most
+    lengths = np.random.default_rng(8).integers(1, 40, 4096)
+    for sizes, fewest in ((lengths, -(-lengths.sum() // 2048)), (np.full(4096, 5), -(-4096 // (2048 // 5))), (np.full(4096, 1), 2)):
+        assert packing.best_fit(sizes, packing.Capacity())[0].max() + 1 == fewest

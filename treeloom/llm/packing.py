@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,26 +28,28 @@ from pyspark.sql import functions as F
 
 from .common import INT, LONG, groups_for, materialize, struct
 
-#: times: how many equal rows the task has had before
-PIECES = struct(doc_id=LONG, piece=INT, start=LONG, length=LONG, ids_crc32=LONG, times=INT)
+#: row: place of the document among those of its task, which tells equal rows apart
+PIECES = struct(doc_id=LONG, piece=INT, start=LONG, length=LONG, ids_crc32=LONG, row=LONG)
 PACKED = struct(doc_id=LONG, piece=INT, start=LONG, length=LONG, ids_crc32=LONG, sequence_id=LONG, offset=LONG)
 
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence may hold: tokens, documents, and attention cost, by default that of one full piece.
+    """What one sequence may hold: tokens, documents, and attention cost.
+
+    By default the latter two are what the tokens imply, so that they rank bins but never ask for more sequences.
 
     weights say how much each residual, as a share of its capacity, counts in the choice of a bin.
     """
 
     tokens: int = 2048
-    documents: int = 64
+    documents: int | None = None
     attention: float | None = None
     weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"  # or "dot"
 
     def vector(self) -> np.ndarray:
-        return np.array([self.tokens, self.documents, self.attention or float(self.tokens) ** 2], dtype=np.float64)
+        return np.array([self.tokens, self.documents or self.tokens, self.attention or float(self.tokens) ** 2], dtype=np.float64)
 
 
 class FastTokenizer:
@@ -115,17 +116,16 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, sepa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(tokenizer_path)
-        end, met = np.array([separator], dtype="<u4").tobytes(), Counter()
+        end, met = np.array([separator], dtype="<u4").tobytes(), 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo in range(0, len(ids), 200):
                 rows = []
                 for doc, data in zip(ids[lo : lo + 200], tok.encode(texts[lo : lo + 200]), strict=True):
                     data += end
-                    whole = hash((doc, data))
-                    rows += [(doc, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)]), met[whole]) for k, (s, n) in enumerate(cut_points(len(data) // 4, size))]
-                    met[whole] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=PIECES.names)
+                    rows += [(doc, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)]), met) for k, (s, n) in enumerate(cut_points(len(data) // 4, size))]
+                    met += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
 
@@ -169,7 +169,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_pieces: int = 4096) -> DataFrame:
-    """Adds sequence_id and offset to pieces, a table. Groups are dealt by a hash of the piece, and of its place among equal ones."""
+    """Adds sequence_id and offset to pieces, a table. Groups are dealt by a hash of the piece and of its place in its task."""
     groups = groups_for(pieces.count(), group_pieces)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +178,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_pieces: int =
         frame["sequence_id"], frame["offset"] = (int(frame["grp"].iloc[0]) << 32) + bins, offsets
         return frame[PACKED.names]
 
-    grp = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "times"), F.lit(groups)).alias("grp")
+    grp = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(groups)).alias("grp")
     return pieces.select("*", grp).groupBy("grp").applyInPandas(run, PACKED)
 
 
