@@ -127,10 +127,9 @@ def met_hubs(docs: DataFrame, found: DataFrame, one: DataFrame, like: Likeness)
         placed = placed_in(found, group)
         hubs = placed.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
         found = materialize(found.select("token", "node").join(hubs.select("token", "hub"), "token").distinct(), "bands")
-        near = placed_in(found, group).filter("node <> hub")
+        near = placed_in(found, group).filter("node <> hub").groupBy("node", "component", "hub").agg(F.count("*").alias("c"))
         if group is not None:
             near = near.join(group.select(F.col("id").alias("hub"), F.col("component").alias("at")), "hub", "left").filter("component <> coalesce(at, hub)")
-        near = near.groupBy("node", "hub").agg(F.count("*").alias("c"))
         star = near.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("a")).select("a", F.col("node").alias("b"))
         star = materialize(likely(star, one, like), "star")
         if star.isEmpty():
