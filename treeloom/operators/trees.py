@@ -53,14 +53,18 @@ def postorder(html: str | None) -> tuple[list[str], list[int]]:
     return labels, left
 
 
-def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> float:
-    """Ordered tree edit distance at unit costs, by forests between key roots; a row of the table at a time."""
+def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]], relabel: np.ndarray | None = None) -> float:
+    """Ordered tree edit distance at unit costs, by forests between key roots; a row of the table at a time.
+
+    relabel: cost of turning a's node into b's; by default 0 for equal labels and 1 for others.
+    """
     (la, ka), (lb, kb) = a, b
     if not la or not lb:
         return float(len(la) + len(lb))
     roots = [sorted({left: i for i, left in enumerate(k)}.values()) for k in (ka, kb)]
-    code = {x: i for i, x in enumerate(sorted({*la, *lb}))}
-    ca, cb = np.array([code[x] for x in la]), np.array([code[x] for x in lb])
+    if relabel is None:
+        code = {x: i for i, x in enumerate(sorted({*la, *lb}))}
+        relabel = np.array([code[x] for x in la])[:, None] != np.array([code[x] for x in lb])
     left_b = np.array(kb)
     tree = np.zeros((len(la), len(lb)))
     for i in roots[0]:
@@ -74,7 +78,7 @@ def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]
             for x in range(li, i + 1):
                 r = x - li + 1
                 whole = whole_b & (ka[x] == li)
-                swap = np.where(whole, f[r - 1, :-1] + (ca[x] != cb[cols]), f[ka[x] - li, left_b[cols] - lj] + tree[x, cols])
+                swap = np.where(whole, f[r - 1, :-1] + relabel[x, cols], f[ka[x] - li, left_b[cols] - lj] + tree[x, cols])
                 best = np.concatenate([[f[r - 1, 0] + 1], np.minimum(f[r - 1, 1:] + 1, swap)])
                 f[r] = np.minimum.accumulate(best - steps) + steps  # insertions run along the row
                 tree[x, cols[whole]] = f[r, 1:][whole]
