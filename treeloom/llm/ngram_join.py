@@ -32,7 +32,7 @@ table gives an empty result. Ties of likeness at the bound count as links.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, INT, LONG, materialize, struct, text_words
+from .common import BIN, INT, LONG, materialize, struct
 from .components import components
 
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -79,29 +79,88 @@ class WordHashes(dict):
         return h
 
 
-_hash_of = WordHashes()
+#: Codes of bytes, the same for A-Z as for a-z; and which bytes separate words.
+BASE = 0x9E3779B97F4A7C15
+_letters = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
+BYTE_CODES = mix((_letters + np.uint64(1)) * np.uint64(BASE))
+SEPARATES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """At least n powers of the base, and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        m = max(n, 1 << 17)
+        _powers[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(m, np.uint64(pow(BASE, e, 1 << 64))))]) for e in (1, -1)]
+    return _powers
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start, and their 64-bit hashes, A-Z as a-z: differences of one running sum over its bytes."""
+    b = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], ~SEPARATES[b], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    up, down = powers(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTE_CODES[b] * up[: len(b)], out=sums[1:])
+    return start, mix((sums[end] - sums[start]) * down[start])
+
+
+def windows(h: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the windows of so many words."""
+    n = len(h) - words + 1
+    out = np.full(n, words, dtype=np.uint64)
+    for k in range(words):
+        out = mix(out * np.uint64(BASE) + h[k : k + n])
+    return out
+
+
+def utf8(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
 
 
 def shingle_hashes(text: str | bytes | None, words: int) -> np.ndarray:
     """64-bit hashes of a text's shingles, in order; one of the whole sequence if it has fewer words."""
-    ws = text.lower().split() if isinstance(text, bytes) else text_words(text)
-    if not ws:
-        return np.empty(0, np.uint64)
-    if len(_hash_of) > 200_000:
-        _hash_of.clear()
-    h = np.fromiter(map(_hash_of.__getitem__, ws), np.uint64, len(ws))
-    n = max(1, len(h) - words + 1)
-    out = np.full(n, min(len(h), words), dtype=np.uint64)
-    for k in range(min(words, len(h))):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return out
+    h = words_of(utf8(text))[1]
+    return windows(h, min(words, len(h))) if len(h) else h
+
+
+#: Bytes of texts that are hashed at once: few calls, and arrays that stay in the processor's cache.
+STRETCH = 1 << 17
+
+
+def shingles_of(texts: Iterable[str | bytes | None], words: int) -> Iterator[np.ndarray]:
+    """shingle_hashes of each text, short ones many at a time."""
+    own: list[bytes] = []
+    size = 0
+
+    def flush() -> Iterator[np.ndarray]:
+        start, h = words_of(b"\n".join(own))
+        ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in own]))
+        whole = windows(h, words) if len(h) >= words else h[:0]
+        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            yield whole[lo : hi - words + 1] if hi - lo >= words else windows(h[lo:hi], hi - lo) if hi > lo else h[:0]
+
+    for text in texts:
+        own.append(utf8(text))
+        size += len(own[-1])
+        if size >= STRETCH:
+            yield from flush()
+            own, size = [], 0
+    if own:
+        yield from flush()
+
+
+def distinct(out: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    out = np.sort(out)
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
 
 
 def shingle_set(text: str | bytes | None, words: int) -> np.ndarray:
     """Sorted distinct hashes."""
-    out = shingle_hashes(text, words)
-    out.sort()
-    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
+    return distinct(shingle_hashes(text, words))
 
 
 def hot_cells(docs: DataFrame, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
@@ -114,16 +173,16 @@ def hot_cells(docs: DataFrame, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
         counts, seen = np.zeros(1 << CELL_BITS, np.int32), set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
-                tokens = []
+                fresh = []
                 for text in batch.column(0).slice(lo, 1000).to_pylist():
                     digest = xxhash.xxh3_64_intdigest(text or "")
                     if digest not in seen:
                         seen.add(digest)
-                        tokens.append(shingle_hashes(text, like.words))
+                        fresh.append(text)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                if tokens:
-                    np.add.at(counts, (np.concatenate(tokens) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                for h in shingles_of(fresh, like.words):
+                    np.add.at(counts, (h >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         mean = counts.mean()
         cells = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 2)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array((counts[cells] - mean).astype(np.int64))], names=["cell", "n"])
@@ -172,8 +231,7 @@ def prefixes(docs: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.ndarray]
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 ns, nodes, ls, firsts, parts = [], [], [], [], []
-                for text in part.column(2).to_pylist():
-                    s = shingle_set(text, like.words)
+                for s in map(distinct, shingles_of(part.column(2).to_pylist(), like.words)):
                     node = node_of(s) if len(s) else None
                     p, match = np.empty(0, np.int64), 0
                     if len(s):
@@ -361,8 +419,8 @@ def longer_prefixes(texts: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 out = []
-                for node, text in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns), strict=True):
-                    s = shingle_set(text, like.words)
+                nodes, texts = (c.to_pylist() for c in batch.slice(lo, 500).columns)
+                for node, s in zip(nodes, map(distinct, shingles_of(texts, like.words)), strict=True):
                     seen = frequency[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                     size = math.floor(math.log(len(s)) / ratio + 1e-12)
                     k = match_of(size)
@@ -396,10 +454,10 @@ def differences(near: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
         unpack, last, h = zstandard.ZstdDecompressor(), None, np.empty(0, np.uint64)
         for batch in batches:
             out = []
-            for hub, node, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hubs, nodes, xs, ys = (c.to_pylist() for c in batch.columns)
+            for hub, node, x, s in zip(hubs, nodes, xs, map(distinct, shingles_of(map(unpack.decompress, ys), like.words)), strict=True):
                 if hub != last:
                     last, h = hub, shingle_set(unpack.decompress(x), like.words)
-                s = shingle_set(unpack.decompress(y), like.words)
                 d = np.setxor1d(h, s, assume_unique=True)
                 if len(d) <= len(s):
                     out.append((hub, node, len(s), len(h), d.view(np.int64)))

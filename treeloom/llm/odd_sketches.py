@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import ngram_join
 from .common import LONG, materialize, struct
 from .components import components
-from .ngram_join import Likeness, mix, node_of, placed_in, shingle_set
+from .ngram_join import Likeness, distinct, mix, node_of, placed_in, shingles_of
 
 ROWS, BANDS = 4, 48
 SAMPLES = ROWS * BANDS
@@ -95,8 +95,7 @@ def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part, rows = batch.slice(lo, 500), []
-                for text in part.column(2).to_pylist():
-                    s = shingle_set(text, like.words)
+                for s in map(distinct, shingles_of(part.column(2).to_pylist(), like.words)):
                     node = node_of(s) if len(s) else None
                     if node is None or node in met:
                         rows.append((len(s), node, None, *[None] * WORDS64))
