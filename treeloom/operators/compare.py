@@ -12,12 +12,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
 from . import weighted as W
 from .nested import Tree
+from .pairs import spread
 from .trees import tree_distance
 
 
@@ -95,7 +98,7 @@ def forest_distance(a: Tree, b: Tree) -> float:
 
 DISTANCES: dict[str, Callable[[Tree, Tree], float]] = {"sequence": sequence_distance, "children": children_distance, "forest": forest_distance}
 #: by 1 + d, by both sizes, by the larger size
-NORMS = {"inverse": lambda d, m, n: 1 / (1 + d), "sum": lambda d, m, n: 1 - d / (m + n) if m + n else 1.0, "max": lambda d, m, n: max(0.0, 1 - d / max(m, n)) if m + n else 1.0}
+NORMS = {"inverse": lambda d, m, n: 1 / (1 + d), "sum": lambda d, m, n: max(0.0, 1 - d / (m + n)) if m + n else 1.0, "max": lambda d, m, n: max(0.0, 1 - d / max(m, n)) if m + n else 1.0}
 
 
 def tag_features(t: Tree) -> list[str]:
@@ -242,7 +245,7 @@ def compare_all(pairs: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFra
         return pd.Series([[c.likeness(m) for m in methods] for c in both])
 
     names = F.array(*[F.lit(m) for m in methods])
-    rows = pairs.select("a_id", "b_id", F.posexplode(measured("a", "b")).alias("place", "similarity"))
+    rows = spread(pairs).select("a_id", "b_id", F.posexplode(measured("a", "b")).alias("place", "similarity"))
     return rows.select("a_id", "b_id", "place", F.get(names, F.col("place")).alias("method"), "similarity")
 
 
@@ -254,7 +257,7 @@ def tree_distances(pairs: DataFrame) -> DataFrame:
         both = [(Tree.of(x), Tree.of(y)) for x, y in zip(a, b, strict=True)]
         return pd.DataFrame([(*(d(s, t) for d in DISTANCES.values()), len(s), len(t)) for s, t in both], columns=[*DISTANCES, "size_a", "size_b"])
 
-    return pairs.select("a_id", "b_id", measured("a", "b").alias("m")).select("a_id", "b_id", "m.*")
+    return spread(pairs).select("a_id", "b_id", measured("a", "b").alias("m")).select("a_id", "b_id", "m.*")
 
 
 def features(trees: DataFrame) -> DataFrame:
@@ -297,7 +300,7 @@ def label_scripts(pairs: DataFrame) -> DataFrame:
     def traced(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("op", "node", "to"), o, strict=True)) for o in label_script(tag_features(Tree.of(x)), tag_features(Tree.of(y)))] for x, y in zip(a, b, strict=True)])
 
-    rows = pairs.select("a_id", "b_id", F.posexplode(traced("a", "b")).alias("seq", "o"))
+    rows = spread(pairs).select("a_id", "b_id", F.posexplode(traced("a", "b")).alias("seq", "o"))
     return rows.select("a_id", "b_id", F.col("seq").cast("long").alias("seq"), "o.*")
 
 
@@ -312,45 +315,64 @@ def downward_paths(t: Tree, i: int, kids: list[list[int]], leaves_only: bool = F
     return out
 
 
+#: What containment asks of a tree: labels, places of leftmost leaves, and, if values count, what leaves hold.
+SHAPE = "struct<labels:array<string>,left:array<int>,values:array<string>>"
+
+
+def shapes(trees: DataFrame, values: bool) -> DataFrame:
+    """(id, shape, key) of trees; equal shapes have equal keys."""
+    of = lambda make: F.transform("tree", make)
+    held = of(lambda n: F.coalesce(F.concat(F.lit("text "), n["text"]), F.concat(F.lit("number "), n["num"].cast("string")), F.lit(""))) if values else F.lit(None)
+    shape = F.struct(of(lambda n: n["label"]).alias("labels"), of(lambda n: n["left"]).alias("left"), held.alias("values")).cast(SHAPE)
+    return trees.filter("size(tree) > 0").select("id", shape.alias("shape")).withColumn("key", F.sha2(F.to_json("shape"), 256))
+
+
+def shape_tree(shape: dict) -> Tree:
+    n = len(shape["labels"])
+    return Tree(shape["labels"], ["dict"] * n, [None] * n, shape["values"] or [None] * n, [None] * n, [0] * n, shape["left"])
+
+
 def inclusions(patterns: DataFrame, trees: DataFrame, values: bool = False) -> DataFrame:
     """(pattern_id, id, nodes): trees that contain a pattern anywhere, and the places of all nodes where they do.
 
-    patterns and trees are (id, tree). Every node is indexed by its downward label paths; a pattern is looked up by
-    the one of its root-to-leaf paths that fewest nodes have, and what it meets is matched in order. Null trees take no
-    part; an equal id on both sides is a pair like any other.
+    patterns and trees are (id, tree). Trees of one shape are matched once. Every node of a shape is indexed by its
+    downward label paths; a pattern is looked up by the one of its root-to-leaf paths that fewest nodes have, and what
+    it meets is matched in order. Null and empty trees take no part; an equal id on both sides is a pair like any other.
     """
-    kind = "array<struct<node:int,path:long>>"
 
-    @F.pandas_udf(kind)
-    def indexed(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<struct<node:int,path:long>>")
+    def indexed(column: pa.Array) -> pa.Array:
         out = []
-        for nodes in column:
-            t = Tree.of(nodes)
+        for t in map(shape_tree, column.to_pylist()):
             kids = t.children()
             out.append([{"node": i, "path": p} for i in range(len(t)) for p in downward_paths(t, i, kids)])
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.struct([("node", pa.int32()), ("path", pa.int64())])))
 
-    @F.pandas_udf("array<long>")
-    def wanted(column: pd.Series) -> pd.Series:
-        made = [Tree.of(nodes) for nodes in column]
-        return pd.Series([sorted(downward_paths(t, len(t) - 1, t.children(), leaves_only=True)) if len(t) else [] for t in made])
+    @F.arrow_udf("array<long>")
+    def wanted(column: pa.Array) -> pa.Array:
+        made = map(shape_tree, column.to_pylist())
+        return pa.array([sorted(downward_paths(t, len(t) - 1, t.children(), leaves_only=True)) for t in made], pa.list_(pa.int64()))
 
-    @F.pandas_udf("array<int>")
-    def matched(pattern: pd.Series, tree: pd.Series, nodes: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def matched(pattern: pa.Array, tree: pa.Array, nodes: pa.Array) -> pa.Array:
         out = []
-        for x, y, at in zip(pattern, tree, nodes, strict=True):
-            p, t = Tree.of(x), Tree.of(y)
+        for x, y, at in zip(pattern.to_pylist(), tree.to_pylist(), nodes.to_pylist(), strict=True):
+            p, t = shape_tree(x), shape_tree(y)
             pk, tk = p.children(), t.children()
-            out.append(sorted(int(j) for j in at if labels_contained(p, len(p) - 1, pk, t, int(j), tk, values)))
-        return pd.Series(out)
+            out.append(sorted(j for j in at if labels_contained(p, len(p) - 1, pk, t, j, tk, values)))
+        return pa.array(out, pa.list_(pa.int32()))
 
-    index = trees.select("id", F.explode(indexed("tree")).alias("e")).select("id", "e.node", "e.path")
+    p, t = (saved(shapes(x, values), "shapes") for x in (patterns, trees))
+    some_p, some_t = (x.dropDuplicates(["key"]).select("key", "shape") for x in (p, t))
+    index = saved(some_t.select(F.col("key").alias("b_id"), F.explode(indexed("shape")).alias("e")).select("b_id", "e.node", "e.path"), "index")
     often = index.groupBy("path").agg(F.count("*").alias("times"))
-    keys = patterns.select(F.col("id").alias("pattern_id"), F.explode(wanted("tree")).alias("path"))
-    key = keys.join(often, "path", "left").groupBy("pattern_id").agg(F.min_by("path", F.struct(F.coalesce("times", F.lit(0)), "path")).alias("path"))
-    met = key.join(index, "path").groupBy("pattern_id", "id").agg(F.collect_set("node").alias("nodes"))
-    met = met.join(patterns.select(F.col("id").alias("pattern_id"), F.col("tree").alias("p")), "pattern_id").join(trees.select("id", F.col("tree").alias("t")), "id")
-    return met.select("pattern_id", "id", matched("p", "t", "nodes").alias("nodes")).filter("size(nodes) > 0")
+    keys = some_p.select(F.col("key").alias("a_id"), F.explode(wanted("shape")).alias("path"))
+    key = keys.join(often, "path", "left").groupBy("a_id").agg(F.min_by("path", F.struct(F.coalesce("times", F.lit(0)), "path")).alias("path"))
+    met = key.join(index, "path").groupBy("a_id", "b_id").agg(F.collect_set("node").alias("nodes"))
+    met = met.join(some_p.select(F.col("key").alias("a_id"), F.col("shape").alias("p")), "a_id").join(some_t.select(F.col("key").alias("b_id"), F.col("shape").alias("t")), "b_id")
+    found = spread(met).select("a_id", "b_id", matched("p", "t", "nodes").alias("nodes")).filter("size(nodes) > 0")
+    ids = found.join(p.select(F.col("key").alias("a_id"), F.col("id").alias("pattern_id")), "a_id").join(t.select(F.col("key").alias("b_id"), "id"), "b_id")
+    return ids.select("pattern_id", "id", "nodes")
 
 
 def subtrees(trees: DataFrame, label: str) -> DataFrame:

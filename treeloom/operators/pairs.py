@@ -27,6 +27,13 @@ def against(docs: DataFrame, id_col: str, doc_col: str, source: Column) -> DataF
     return a.join(b, F.col("a_id") != F.col("b_id"))
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """The same rows dealt evenly by a hash of their ids: for kernels whose cost is in no proportion to a row's bytes, which adaptive execution coalesces by."""
+    spark = pairs.sparkSession
+    n = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return pairs.repartition(n, "a_id", "b_id")
+
+
 def mirrored(pairs: DataFrame, value: str, diagonal: DataFrame, on_diagonal: float) -> DataFrame:
     """Symmetric long form: both directions of each pair, and the diagonal."""
     there = pairs.select("a_id", "b_id", value)

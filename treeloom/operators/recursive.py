@@ -16,11 +16,15 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import weighted as W
 from .nested import Tree, plain_text
+from .pairs import spread
 
 #: Labels that start a section of their own.
 SECTIONS = frozenset({"General", "Government", "Area", "Population", "Economy", "Demographics", "Administrative details"})
@@ -307,7 +311,7 @@ class Draft:
         for n, o in enumerate(sorted((o for o in ops if o["op"] == "insert_tree"), key=lambda o: (len(path_steps(o["path"])), o["at"]))):
             new = self.graft(o["nodes"], f"i{n}-")
             self.parent[new] = o["uid"]
-            self.kids[o["uid"]].insert(int(o["at"]) - 1, new)
+            self.kids[o["uid"]].insert(o["at"] - 1, new)
 
     def tree(self) -> Tree:
         out = Tree()
@@ -337,7 +341,7 @@ def distances(pairs: DataFrame, costs: Costs = LATER) -> DataFrame:
         both = [Alignment(Tree.of(x), Tree.of(y), costs) for x, y in zip(a, b, strict=True)]
         return pd.DataFrame([(m.total, m.similarity, len(m.a.size), len(m.b.size)) for m in both], columns=["distance", "similarity", "size_a", "size_b"])
 
-    return pairs.select("a_id", "b_id", measured("a", "b").alias("m")).select("a_id", "b_id", "m.*")
+    return spread(pairs).select("a_id", "b_id", measured("a", "b").alias("m")).select("a_id", "b_id", "m.*")
 
 
 SCRIPT = f"array<struct<op:string,path:string,at:int,cost:double,uid:string,nodes:array<{W.NODE}>>>"
@@ -346,15 +350,14 @@ SCRIPT = f"array<struct<op:string,path:string,at:int,cost:double,uid:string,node
 def scripts(pairs: DataFrame, costs: Costs = LATER, complete: bool = False) -> DataFrame:
     """(a_id, b_id, seq, op, path, section, at, cost, uid, nodes): what turns a into b. Pairs with an empty tree have no script."""
 
-    @F.pandas_udf(SCRIPT)
-    def traced(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            s, t = Tree.of(x), Tree.of(y)
-            out.append(_ops(Alignment(s, t, costs).script(complete)) if len(s) and len(t) else [])
-        return pd.Series(out)
+    kind = to_arrow_type(T.DataType.fromDDL(SCRIPT))
+
+    @F.arrow_udf(SCRIPT)
+    def traced(a: pa.Array, b: pa.Array) -> pa.Array:
+        both = ((Tree.of(x), Tree.of(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True))
+        return pa.array([_ops(Alignment(s, t, costs).script(complete)) if len(s) and len(t) else [] for s, t in both], kind)
 
-    rows = pairs.select("a_id", "b_id", F.posexplode(traced("a", "b")).alias("seq", "o"))
+    rows = spread(pairs).select("a_id", "b_id", F.posexplode(traced("a", "b")).alias("seq", "o"))
     section = F.when(F.col("o.path") == "root", F.lit("<root>")).otherwise(F.regexp_extract(F.split_part(F.col("o.path"), F.lit("/"), F.lit(2)), r"^(.+?)(\[[0-9]+\])?$", 1))
     return rows.select("a_id", "b_id", F.col("seq").cast("long").alias("seq"), "o.op", "o.path", section.alias("section"), "o.at", "o.cost", "o.uid", "o.nodes")
 
@@ -368,16 +371,19 @@ def section_summary(ops: DataFrame) -> DataFrame:
 def replayed(pairs: DataFrame, ops: DataFrame, costs: Costs = LATER) -> DataFrame:
     """(a_id, b_id, patched, size_patched, size_b, distance_after, equal, exact): a after its script, how far from b it is, and whether it is b node by node."""
 
-    @F.pandas_udf(f"struct<patched:array<{W.NODE}>,size_patched:long,size_b:long,distance_after:double,equal:boolean>")
-    def run(a: pd.Series, b: pd.Series, script: pd.Series) -> pd.DataFrame:
+    form = f"struct<patched:array<{W.NODE}>,size_patched:long,size_b:long,distance_after:double,equal:boolean>"
+    kind = to_arrow_type(T.DataType.fromDDL(form))
+
+    @F.arrow_udf(form)
+    def run(a: pa.Array, b: pa.Array, script: pa.Array) -> pa.Array:
         out = []
-        for x, y, s in zip(a, b, script, strict=True):
+        for x, y, s in zip(a.to_pylist(), b.to_pylist(), script.to_pylist(), strict=True):
             draft, target = Draft(Tree.of(x)), Tree.of(y)
-            draft.apply([o if isinstance(o, dict) else o.asDict() for o in (s if s is not None else [])])
+            draft.apply(s or [])
             t = draft.tree()
-            out.append((t.rows(), len(t), len(target), Alignment(t, target, costs).total, t == target))
-        return pd.DataFrame(out, columns=["patched", "size_patched", "size_b", "distance_after", "equal"])
+            out.append({"patched": t.rows(), "size_patched": len(t), "size_b": len(target), "distance_after": Alignment(t, target, costs).total, "equal": t == target})
+        return pa.array(out, kind)
 
     own = ops.groupBy("a_id", "b_id").agg(F.collect_list(F.struct("op", "path", "at", "uid", "nodes")).alias("script"))  # in any order
-    rows = pairs.join(own, ["a_id", "b_id"], "left").select("a_id", "b_id", run("a", "b", "script").alias("r")).select("a_id", "b_id", "r.*")
+    rows = spread(pairs.join(own, ["a_id", "b_id"], "left")).select("a_id", "b_id", run("a", "b", "script").alias("r")).select("a_id", "b_id", "r.*")
     return rows.withColumn("exact", F.abs("distance_after") < 1e-9)

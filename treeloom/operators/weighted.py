@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pairs import spread
+
 #: kind: dict (a container), num, str, list or dist; left: place of the leftmost leaf below the node; depth: the root's is 0
 NODE = "struct<label:string,kind:string,num:double,text:string,items:array<string>,dist:map<string,double>,weight:double,depth:int,left:int>"
 FREE, TOKEN = math.inf, re.compile("[a-z0-9]+")
@@ -167,7 +169,7 @@ def distances(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         return F.coalesce(F.aggregate(tree, F.lit(0.0), lambda s, n: s + n["weight"]), F.lit(0.0))
 
     sizes = [F.coalesce(F.size(t), F.lit(0)).cast("long").alias(f"size_{t}") for t in "ab"]
-    return pairs.select("a_id", "b_id", measured("a", "b").alias("distance"), *sizes, (weight("a") + weight("b")).alias("bound"))
+    return spread(pairs).select("a_id", "b_id", measured("a", "b").alias("distance"), *sizes, (weight("a") + weight("b")).alias("bound"))
 
 
 SCRIPT = "array<struct<op:string,label:string,from:int,to:int,cost:double>>"
@@ -180,5 +182,5 @@ def scripts(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     def traced(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("op", "label", "from", "to", "cost"), o, strict=True)) for o in Mapping(_nodes(x), _nodes(y), rules).script()] for x, y in zip(a, b, strict=True)])
 
-    rows = pairs.select("a_id", "b_id", F.posexplode(traced("a", "b")).alias("seq", "o"))
+    rows = spread(pairs).select("a_id", "b_id", F.posexplode(traced("a", "b")).alias("seq", "o"))
     return rows.select("a_id", "b_id", F.col("seq").cast("long").alias("seq"), "o.*")
