@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cluster as C
 from ..operators import diff as D
 from ..operators import evaluate as E
+from ..operators import linkage as L
 from ..operators import trees as T
 from ..sources.scratch import saved
 from . import profiles as N
@@ -159,12 +160,18 @@ def kmedoids_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def average_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.linkage(matrix(spark, sf_dir), "average")
+    return L.linkage(matrix(spark, sf_dir), "average")
 
 
 @query()
 def complete_linkage_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.agglomerative(matrix(spark, sf_dir), "complete", k=5)
+    return L.cut(matrix(spark, sf_dir), "complete", k=5)
+
+
+@query()
+def dendrogram_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the average-linkage tree: parent, height, size, place of its leftmost leaf."""
+    return L.dendrogram(matrix(spark, sf_dir)).withColumn("height", F.round("height", 6))
 
 
 @query()
