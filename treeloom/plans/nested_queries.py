@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ from ..operators import nested as N
 from ..operators import nested_diff as D
 from ..operators import pairs as P
 from ..operators import recursive as R
+from ..operators import suggest, ted
 from ..operators import weighted as W
-from ..sources.scratch import saved
+from ..sources import matrix_cache
+from ..sources.scratch import saved, scratch_dir
+from . import profiles
 from .profiles import table
 
 QUERIES, SQL = {}, {}
@@ -229,3 +234,27 @@ def tree_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = saved(N.trees(table(spark, sf_dir, "pages"), "page_id", "html", "markup"), "pages")
     found = C.inclusions(C.subtrees(pages, "article"), pages)
     return found.select("pattern_id", "id", F.size("nodes").cast("long").alias("places"))
+
+
+@query()
+def name_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark that come closest to each of them written without its second letter."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("key")).filter("length(key) > 3").distinct()
+    words = saved(words, "words")
+    asked = words.select(F.concat(F.substring("key", 1, 1), F.substring("key", 3, 1000)).alias("key"))
+    return suggest.close_names(asked, words).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(profiles.matrix_cte() + " SELECT a_id, b_id, dist FROM m WHERE a_id < b_id")
+def matrix_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' matrix out of a cache that first held the nations of all regions but one."""
+    docs = saved(profiles.nations(spark, sf_dir), "nations")
+    size = ted.node_count(list(profiles.LEAVES))
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        like = F.round(ted.similarity(ted.distance(profiles.LEAVES), F.lit(size), F.lit(size)), 6)
+        return pairs.select("a_id", "b_id", F.round(1 - like, 6).alias("dist"))
+
+    path = f"{scratch_dir(spark)}/treeloom-matrix-{uuid.uuid4().hex}"
+    matrix_cache.upkeep(docs.filter("doc.region <> 'ASIA'"), path, measure)
+    return matrix_cache.upkeep(docs, path, measure)
