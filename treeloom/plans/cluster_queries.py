@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as C
 from ..operators import diff as D
+from ..operators import embedding as M
 from ..operators import evaluate as E
 from ..operators import linkage as L
 from ..operators import trees as T
@@ -176,17 +177,17 @@ def dendrogram_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spectral_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.spectral(matrix(spark, sf_dir), 4)
+    return M.spectral(matrix(spark, sf_dir), 4)
 
 
 @query()
 def mds_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.mds(matrix(spark, sf_dir))
+    return M.landmark_scaling(matrix(spark, sf_dir))
 
 
 @query()
 def kmeans_on_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.kmeans_on_scaling(matrix(spark, sf_dir), 4)
+    return M.kmeans_on_scaling(matrix(spark, sf_dir), 4)
 
 
 # ---- evaluation, with regions as clusters

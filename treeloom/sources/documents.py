@@ -36,6 +36,65 @@ def read_directory(spark: SparkSession, path: str, schema: T.StructType = CANONI
     return rows.withColumn(name, F.coalesce(F.col(name), stem))
 
 
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(file): names of the files that read_directory leaves out."""
+    rows = spark.read.option("wholetext", True).text(path)
+    return rows.filter(F.try_parse_json(F.ltrim(F.translate("value", BYTE_ORDER_MARK, ""))).isNull()).select(F.col("_metadata.file_name").alias("file"))
+
+
+#: The mark that some editors put in front of a file.
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def read_any(spark: SparkSession, path: str, key: str = "countries", name: str = "country", box: str = "infobox") -> DataFrame:
+    """(name, json) of documents however they are kept: {key: [documents]}, a list, a single one, one a file or one a line.
+
+    The name leaves the document; where there is none it is the file's stem. What stands in an infobox takes its
+    document's place. Items that are no objects are left out, and unreadable texts.
+    """
+    texts = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    whole = F.try_parse_json(F.translate("value", BYTE_ORDER_MARK, ""))
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.try_parse_json(x)), lambda v: v.isNotNull())
+    listed = lambda v, at: F.try_variant_get(v, at, "array<variant>")
+    docs = texts.withColumn("v", whole).select("file", F.coalesce(listed("v", f"$.{key}"), listed("v", "$"), F.when(F.col("v").isNotNull(), F.array("v")), lines).alias("docs"))
+    rows = docs.select("file", F.explode("docs").alias("d")).filter(F.schema_of_variant("d").startswith("OBJECT"))
+    inner = F.coalesce(F.try_variant_get("d", f"$.{box}", "variant"), F.col("d"))
+    fields = F.try_variant_get(inner, "$", "map<string,variant>")
+    stem = F.regexp_replace(F.regexp_extract(F.col("file"), r"^(.*)\.json$", 1), "_", " ")
+    named = F.coalesce(F.try_variant_get("d", f"$.{name}", "string"), stem)
+    return rows.select(named.alias(name), F.to_json(F.map_filter(fields, lambda k, v: k != name)).alias("json"))
+
+
+def write_json(rows: DataFrame, path: str, name: str, json_col: str) -> None:
+    """JSON lines, the documents' own fields behind their name; read_any gives them back."""
+    fields = F.try_variant_get(F.try_parse_json(json_col), "$", "map<string,variant>")
+    first = F.to_json(F.struct(F.col(name).alias(name)))
+    rest = F.to_json(fields)
+    line = F.when(rest == "{}", first).otherwise(F.concat(F.substring(first, 1, F.length(first) - 1), F.lit(","), F.substring(rest, 2, 1 << 30)))
+    rows.select(line.alias("value")).write.text(path)
+
+
+def write_texts(rows: DataFrame, path: str, name: str, text: str) -> None:
+    """A folder a name (name=...), with the text in it."""
+    rows.select(F.col(text).alias("value"), F.col(name).alias("name")).write.partitionBy("name").text(path)
+
+
+def write_clusters(labels: DataFrame, settings: dict, path: str) -> None:
+    """labels: a table of (id, cluster), noise -1; report: the settings, and counts of documents, clusters and noise."""
+    labels.select("id", "cluster").write.option("header", True).csv(f"{path}/labels")
+    counts = [F.count("*").alias("documents"), F.countDistinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") == -1).alias("noise")]
+    labels.agg(*counts).select(*[F.lit(v).alias(k) for k, v in settings.items()], "documents", "clusters", "noise").write.json(f"{path}/report")
+
+
+def write_patches(source: DataFrame, target: DataFrame, path: str) -> None:
+    """source, target and patched documents (pair, json) and the edit script between them, as JSON lines."""
+    from ..operators import nested_diff as D
+
+    ops = D.script(D.node_rows(source, "pair", "json"), D.node_rows(target, "pair", "json"))
+    for name, rows in (("source", source), ("target", target), ("edit_script", ops), ("patched", D.apply_script(source, "pair", "json", ops))):
+        rows.write.json(f"{path}/{name}")
+
+
 def read_wrapped(spark: SparkSession, path: str, schema: T.StructType = CANONICAL, key: str = "countries") -> DataFrame:
     """A file of {key: [documents]}; items that are no objects are left out."""
     rows = spark.read.schema(_struct(**{key: T.ArrayType(schema)})).option("multiLine", True).json(path)
