@@ -32,7 +32,7 @@ table gives an empty result. Ties of likeness at the bound count as links.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -470,9 +470,15 @@ def differences(near: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     return near.join(y, "node").join(x, "hub").select("hub", "node", "x", "y").mapInArrow(run, DIFFERENCES)
 
 
-def around_hubs(found: DataFrame, group: DataFrame, like: Likeness) -> DataFrame:
+#: Merges the components of nodes that share one of a table's tokens and are alike: (token, node) to (id, component).
+Settle = Callable[[DataFrame], DataFrame]
+
+
+def around_hubs(found: DataFrame, group: DataFrame, like: Likeness, settle: Settle | None = None) -> DataFrame:
     """(a, b): pairs of a hub and a node alike to it, and pairs of one hub's nodes that can be alike by their differences.
 
+    settle: looks at the nodes that share a rare difference first; then only pairs of different components are left.
+
     Two sets differ by as many tokens as their differences to a third do. If no token of the differences is shared,
     alike nodes are both alike to the hub, so both have that link. Otherwise the first shared token, the rarest ones
     of a hub coming first, tells that all before it are not shared.
@@ -486,6 +492,9 @@ def around_hubs(found: DataFrame, group: DataFrame, like: Likeness) -> DataFrame
     place = F.row_number().over(Window.partitionBy("node").orderBy("times", "token")) - 1
     first = tokens.join(times, ["hub", "token"]).withColumn("at", place)
     first = materialize(first.filter("times > 1").filter(bound(like.percent * c("at"), (100 + like.percent) * c("n"))), "first")
+    if settle is not None:
+        group = settle(first.select(F.xxhash64("hub", "token").alias("token"), "node"))
+        first = materialize(placed_in(first.drop("component"), group), "first")
     own = ("node", "n", "r", "at", "component", "linked")
     x, y = (first.select("hub", "token", *[c(k).alias(f"{k}_{s}") for k in own]) for s in "ab")
     differ = c("at_a") + c("at_b") + F.abs(c("r_a") - c("at_a") - c("r_b") + c("at_b"))
@@ -493,7 +502,7 @@ def around_hubs(found: DataFrame, group: DataFrame, like: Likeness) -> DataFrame
     return links.unionByName(pairs.select(c("node_a").alias("a"), c("node_b").alias("b")).distinct())
 
 
-def many_candidates(docs: DataFrame, rest: DataFrame, group: DataFrame, one: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def many_candidates(docs: DataFrame, rest: DataFrame, group: DataFrame, one: DataFrame, like: Likeness, hot: tuple[np.ndarray, np.ndarray], settle: Settle | None = None) -> DataFrame:
     """(a, b): pairs of nodes with many candidates each that share one of the tokens that their longer prefixes keep.
 
     Pairs of nodes with the same hub are found by what they do not share with it instead.
@@ -514,7 +523,7 @@ def many_candidates(docs: DataFrame, rest: DataFrame, group: DataFrame, one: Dat
     at = F.when(F.col("rank") >= F.col("k"), F.array("size", F.col("size") - 1)).otherwise(F.array(F.col("size") - 1))
     y = kept.select("token", F.explode(at).alias("at"), *[F.col(c).alias(f"{c}_b") for c in own])
     pairs = x.join(y, ["token", "at"]).filter("hub_a <> hub_b and component_a <> component_b and (size_a <> size_b or node_a < node_b)").filter(can_be_alike("n_a", "n_b", like))
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().unionByName(around_hubs(apart, group, like))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().unionByName(around_hubs(apart, group, like, settle))
 
 
 def stand_ins(rows: DataFrame, own: list[F.Column]) -> DataFrame:
@@ -526,7 +535,7 @@ def stand_ins(rows: DataFrame, own: list[F.Column]) -> DataFrame:
 
 def with_links(more: DataFrame, group: DataFrame | None, edges: DataFrame | None) -> DataFrame:
     """Edges so far and links between the components so far, which stand for their nodes: many links between two of them are one."""
-    if group is None:
+    if group is None or edges is None:
         return more
     at = group.select("id", "component")
     ends = more.join(at.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(at.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")

@@ -119,9 +119,11 @@ def likely(pairs: DataFrame, one: DataFrame, like: Likeness) -> DataFrame:
     return both.filter(odd <= most_odd_bits(like.percent)).select("a", "b")
 
 
-def met_hubs(docs: DataFrame, found: DataFrame, one: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Bands (token, node) whose nodes are still apart, the components and the verified edges, after rounds of one hub a node."""
-    group, edges = None, None
+def met_hubs(docs: DataFrame, found: DataFrame, one: DataFrame, like: Likeness, group: DataFrame | None = None, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Bands (token, node) whose nodes are still apart, the components and the verified edges, after rounds of one hub a node.
+
+    group, edges: those so far.
+    """
     for r in range(ROUNDS):
         placed = placed_in(found, group)
         hubs = placed.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
@@ -150,8 +152,11 @@ def apart(found: DataFrame, group: DataFrame | None) -> DataFrame:
     return materialize(rows.select("token", "node", "component").join(cost, "node"), "rest")
 
 
-def left_pairs(docs: DataFrame, rest: DataFrame, group: DataFrame | None, one: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b) of nodes in different components that may be alike."""
+def left_pairs(docs: DataFrame, rest: DataFrame, group: DataFrame | None, edges: DataFrame | None, one: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(a, b) of nodes in different components that may be alike, and components and edges so far.
+
+    Near copies of one text that are alike in small groups only meet a hub of the same rare difference first.
+    """
     x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "few")]) for s in "ab")
     few = x.filter("few_a").join(y, "token").filter("component_a <> component_b and (not few_b or node_a < node_b)")
     pairs = few.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
@@ -160,8 +165,14 @@ def left_pairs(docs: DataFrame, rest: DataFrame, group: DataFrame | None, one: D
         hot = ngram_join.hot_cells(ngram_join.texts_of(docs, many, one), like)
         if group is None:
             group = one.select(F.col("node").alias("id"), F.col("node").alias("component"))
-        pairs = pairs.unionByName(ngram_join.many_candidates(docs, rest, group, one, like, hot))
-    return materialize(likely(pairs, one, like), "pairs")
+
+        def settle(tokens: DataFrame) -> DataFrame:
+            nonlocal group, edges
+            _, group, edges = met_hubs(docs, tokens, one, like, group, edges)
+            return group
+
+        pairs = pairs.unionByName(ngram_join.many_candidates(docs, rest, group, one, like, hot, settle))
+    return materialize(likely(pairs, one, like), "pairs"), group, edges
 
 
 def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +183,8 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id"
     one = materialize(ngram_join.stand_ins(rows, [F.first(s, ignorenulls=True).alias(s) for s in SKETCH]), "nodes")
     found = rows.filter("bands is not null").select("node", F.explode("bands").alias("token"))
     found, group, edges = met_hubs(docs, found, one, like)
-    more = ngram_join.checked(docs, left_pairs(docs, apart(found, group), group, one, like), one, like)
+    pairs, group, edges = left_pairs(docs, apart(found, group), group, edges, one, like)
+    more = ngram_join.checked(docs, pairs, one, like)
     if not more.isEmpty():
         group = components(ngram_join.with_links(more, group, edges))
     out = ngram_join.labelled(rows, one, group)
