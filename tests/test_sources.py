@@ -42,7 +42,7 @@ def test_documents_of_any_form(spark, tmp_path, form):
         path = tmp_path
     else:
         path = tmp_path / "all.json"
-        path.write_text(json.dumps({"wrapped": {"countries": [*docs, None, 3]}, "list": docs, "single": docs[0], "infobox": {"countries": boxed}}[form]))
+        path.write_text(json.dumps(indent=None if form == "list" else 2, obj={"wrapped": {"countries": [*docs, None, 3]}, "list": docs, "single": docs[0], "infobox": {"countries": boxed}}[form]))
     got = {r.country: json.loads(r.json) for r in S.read_any(spark, str(path)).collect()}
     want = {d["country"]: {k: v for k, v in d.items() if k != "country"} for d in (docs[:1] if form == "single" else docs)}
     assert got == want
@@ -84,7 +84,7 @@ def test_json_and_text_sinks(spark, tmp_path):
     back = S.read_any(spark, str(tmp_path / "json"), name="name")
     assert {r.name: json.loads(r.json) for r in back.collect()} == {"Alpha": {"a": 1}, "Be/ta": {"b": [1, 2]}}
     S.write_texts(rows, str(tmp_path / "text"), "name", "text")
-    assert {(r.name, r.text.rstrip("\n")) for r in spark.read.schema("text string, name string").option("wholetext", True).text(str(tmp_path / "text")).collect()} == {("Alpha", "line 1\nline 2"), ("Be/ta", "x")}
+    assert {(r.name, r.text.rstrip("\n")) for r in spark.read.schema("text string, name string").text(str(tmp_path / "text"), wholetext=True).collect()} == {("Alpha", "line 1\nline 2"), ("Be/ta", "x")}
 
 
 def test_cluster_and_patch_sinks(spark, tmp_path):

@@ -83,7 +83,7 @@ def kmeans_on_scaling(pairs: DataFrame, k: int, dims: int = 10, landmarks: int =
     return clustered(landmark_scaling(pairs, dims, landmarks, seed), k, seed)
 
 
-def spectral_vectors(pairs: DataFrame, k: int, seed: int = 42, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
+def spectral_vectors(pairs: DataFrame, k: int, seed: int = 42, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
     """(id, coords): the k vectors that the normalised similarities 1 - dist, clipped to [0, 1], stretch most, over the root of a document's similarities.
 
     The matrix is moved by one, so that what is largest is also what is largest in size. Rounds end when the block's

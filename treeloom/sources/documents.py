@@ -38,7 +38,7 @@ def read_directory(spark: SparkSession, path: str, schema: T.StructType = CANONI
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
     """(file): names of the files that read_directory leaves out."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.filter(F.try_parse_json(F.ltrim(F.translate("value", BYTE_ORDER_MARK, ""))).isNull()).select(F.col("_metadata.file_name").alias("file"))
 
 
@@ -52,7 +52,7 @@ def read_any(spark: SparkSession, path: str, key: str = "countries", name: str =
     The name leaves the document; where there is none it is the file's stem. What stands in an infobox takes its
     document's place. Items that are no objects are left out, and unreadable texts.
     """
-    texts = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     whole = F.try_parse_json(F.translate("value", BYTE_ORDER_MARK, ""))
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.try_parse_json(x)), lambda v: v.isNotNull())
     listed = lambda v, at: F.try_variant_get(v, at, "array<variant>")
