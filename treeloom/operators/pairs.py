@@ -14,7 +14,10 @@ def triangular(docs: DataFrame, id_col: str, doc_col: str) -> DataFrame:
 
 
 def adjacent(docs: DataFrame, id_col: str, doc_col: str) -> DataFrame:
-    """(a_id, a, b_id, b) of each row and the one whose id is one more: an equi-join, linear in the table."""
+    """(a_id, a, b_id, b) of each row and the one whose id is one more: an equi-join, linear in the table.
+
+    A row whose successor's id is missing makes no pair: gaps in the ids cut the chain.
+    """
     a = docs.select(F.col(id_col).alias("a_id"), F.col(doc_col).alias("a"))
     b = docs.select(F.col(id_col).alias("b_id"), F.col(doc_col).alias("b"))
     return a.join(b, F.col("b_id") == F.col("a_id") + 1)
