@@ -26,6 +26,29 @@ def silhouette(pairs: DataFrame, assigned: DataFrame, noise: int | None = -1) ->
     return per.filter("other is not null").select("id", F.when(F.col("own").isNull() | (most == 0), F.lit(0.0)).otherwise((F.col("other") - F.col("own")) / most).alias("silhouette"))
 
 
+def k_sweep(pairs: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(k, n_clusters, silhouette, intra) of clusterings (k, id, cluster): mean silhouette, null below two clusters, and mean distance within clusters, 0 where all stand alone.
+
+    All clusterings share one join with the distances and one aggregation.
+    """
+    a = cuts.select("k", F.col("id").alias("a_id"), F.col("cluster").alias("ca"))
+    b = cuts.select("k", F.col("id").alias("b_id"), F.col("cluster").alias("cb"))
+    cells = pairs.join(a, "a_id").join(b, ["k", "b_id"]).groupBy("k", "a_id", "ca", "cb").agg(F.sum("dist").alias("total"), F.count("*").alias("n"))
+    same = F.col("ca") == F.col("cb")
+    mean = F.col("total") / F.col("n")
+    per = cells.groupBy("k", "a_id").agg(F.max(F.when(same, mean)).alias("own"), F.min(F.when(~same, mean)).alias("other"), F.sum(F.when(same, F.col("total"))).alias("inner"), F.sum(F.when(same, F.col("n"))).alias("n"))
+    most = F.greatest("own", "other")
+    s = F.when(F.col("other").isNotNull(), F.when(F.col("own").isNull() | (most == 0), F.lit(0.0)).otherwise((F.col("other") - F.col("own")) / most))
+    scores = per.groupBy("k").agg(F.avg(s).alias("silhouette"), F.coalesce(F.sum("inner") / F.sum("n"), F.lit(0.0)).alias("intra"))
+    sizes = cuts.groupBy("k").agg(F.countDistinct("cluster").alias("n_clusters"))
+    return sizes.join(scores, "k", "left").select("k", "n_clusters", "silhouette", "intra")
+
+
+def best_k(sweep: DataFrame) -> DataFrame:
+    """One row: the k of the greatest silhouette, of several the smallest."""
+    return sweep.filter("silhouette is not null").agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k"), F.max("silhouette").alias("silhouette"))
+
+
 def davies_bouldin_medoid(pairs: DataFrame, assigned: DataFrame, noise: int | None = -1) -> DataFrame:
     """One row: mean over clusters of the worst ratio of scatters to medoid distance; medoids count in the scatter."""
     real = _real(assigned, noise)

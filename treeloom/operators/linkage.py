@@ -70,16 +70,36 @@ def linkage(pairs: DataFrame, method: str = "average") -> DataFrame:
     return out.select("step", F.least("n_left", "n_right").alias("left"), F.greatest("n_left", "n_right").alias("right"), "height", "size")
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return saved(pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct(), "ids")
+
+
+def _clusters(ids: DataFrame, kept: DataFrame) -> DataFrame:
+    """(k, id, cluster), named by smallest member, of ids (k, id) under the merges kept (k, node, left, right): all k in one graph."""
+    at_k = lambda c: F.concat_ws("/", "k", c)
+    edges = kept.select(at_k("node").alias("a"), at_k("left").alias("b")).unionByName(kept.select(at_k("node").alias("a"), at_k("right").alias("b")))
+    at = components(edges).select(F.col("id").alias("node"), "component")
+    rows = ids.withColumn("node", at_k(F.col("id").cast("string"))).join(at, "node", "left").select("k", "id", F.coalesce("component", "node").alias("component"))
+    least = rows.groupBy("component").agg(F.min("id").alias("cluster"))
+    return rows.join(least, "component").select("k", "id", "cluster")
+
+
 def cut(pairs: DataFrame, method: str = "average", threshold: float | None = None, k: int | None = None) -> DataFrame:
     """(id, cluster), named by smallest member: merges below a height, or as many as leave k clusters."""
-    ids = saved(pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct(), "ids")
+    ids = _ids(pairs)
     steps = numbered(merges(pairs, method), "height", "size", "node", name="step")
     kept = saved(steps.filter(F.col("step") < ids.count() - k) if k else steps.filter(F.col("height") < threshold), "kept")
-    edges = kept.select(F.col("node").alias("a"), F.col("left").alias("b")).unionByName(kept.select(F.col("node").alias("a"), F.col("right").alias("b")))
-    at = components(edges).select(F.col("id").alias("node"), "component")
-    rows = ids.withColumn("node", F.col("id").cast("string")).join(at, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
-    least = rows.groupBy("component").agg(F.min("id").alias("cluster"))
-    return rows.join(least, "component").select("id", "cluster")
+    return _clusters(ids.withColumn("k", F.lit(0)), kept.withColumn("k", F.lit(0))).drop("k")
+
+
+def cuts(pairs: DataFrame, ks: list[int], method: str = "average") -> DataFrame:
+    """(k, id, cluster) of several numbers of clusters, all cut from one tree. A k beyond the number of documents is left out."""
+    ids = _ids(pairs)
+    n = ids.count()
+    steps = saved(numbered(merges(pairs, method), "height", "size", "node", name="step"), "steps")
+    asked = F.explode(F.array(*[F.lit(k) for k in sorted(set(ks)) if 0 < k <= n]).cast("array<int>")).alias("k")
+    kept = saved(steps.select("*", asked).filter(F.col("step") < n - F.col("k")), "kept")
+    return saved(_clusters(ids.select("*", asked), kept), "cuts")
 
 
 def dendrogram(pairs: DataFrame, method: str = "average") -> DataFrame:
