@@ -126,7 +126,7 @@ def test_labels_and_metrics(spark):
     assert D.pruned_sections(leaves, ["a", "zz"], {"a": "A"}).count() == 2
     assert D.excluded_labels({"A": {"x": False, "y": False}, "B": {"x": True, "z": False}, "C": {}}) == ["A", "z"]
     tree = D.metric_tree(leaves)
-    assert [tuple(r) for r in tree.orderBy("id", "place").collect()] == [(1, "A", "x", "1.0", 1), (1, "A", "y", "0", 2), (2, "A", "y", "3.0", 1)]
+    assert [tuple(r) for r in tree.orderBy("id", "place").collect()] == [(1, "A", "x", "1", 1), (1, "A", "y", "0", 2), (2, "A", "y", "3", 1)]
     assert D.with_metrics(tree, []).count() == 3 and D.with_metrics(tree, ["x"]).count() == 1
     pair = spark.createDataFrame([(1, 2)], "a_id long, b_id long")
     assert [tuple(r) for r in D.common_metrics(pair, tree).collect()] == [(1, 2, "A", "y")]
