@@ -60,6 +60,23 @@ def test_phrases_against_counting(spark, rules, monkeypatch):
     assert collocations.best(docs.limit(0), rules).collect() == []
 
 
+def test_phrases_reach_the_filter_by_the_batch(spark, monkeypatch):
+    sizes, hashed = spark.sparkContext.accumulator(0), collocations.phrase_hashes
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(words, m):
+        if words.ndim == 2:  # of the phrases for the filter, not of a shard
+            sizes.add(words.shape[1])
+            calls.add(1)
+        return hashed(words, m)
+
+    monkeypatch.setattr(collocations, "phrase_hashes", counting)
+    text = " ".join(f"a{i} b{i}." for i in range(200))
+    docs = spark.createDataFrame([(i, text, "en") for i in range(12)], "doc_id long, text string, lang string").coalesce(1)
+    assert collocations.best(docs).count() == 200
+    assert sizes.value == 600 and calls.value <= 30
+
+
 def test_exact_scores_beyond_64_bits(spark):
     phrases = spark.createDataFrame([("en", "a b", 3 * 10**12, 2), ("en", "a", 7 * 10**12, 1), ("en", "b", 4 * 10**12, 1)], "lang string, gram string, f long, m int")
     row = collocations.scored(phrases).first()

@@ -16,13 +16,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,21 +191,27 @@ def shard_counts(parts: DataFrame, m: int, known: np.ndarray | None) -> DataFram
     return parts.select("lang", "words", "ids").mapInArrow(run, COUNTS)
 
 
-def counted(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(lang, gram, f, m) of all phrases of up to the longest length with the least count, and (lang, n) of all words."""
-    spark = docs.sparkSession
-    parts = materialize(shards(docs, text_col, lang_col), "shards")
+@contextmanager
+def one_row_batches(spark: SparkSession) -> Iterator[None]:
+    """For a job that reads shards, rows of several MB each; phrases are small rows and go by the batch."""
     before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, "1")  # a shard is a row of several MB
+    spark.conf.set(BATCH, "1")
     try:
-        known, levels = None, []
-        for m in range(1, rules.longest + 1):
-            level = shard_counts(parts, m, known).groupBy("lang", "gram").agg(F.sum("f").alias("f")).filter(F.col("f") >= rules.least)
-            levels.append(materialize(level.withColumn("m", F.lit(m)), f"phrases-{m}"))
-            if m < rules.longest:
-                known = phrase_filter(levels[-1], m)
+        yield
     finally:
         spark.conf.set(BATCH, before)
+
+
+def counted(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """(lang, gram, f, m) of all phrases of up to the longest length with the least count, and (lang, n) of all words."""
+    parts = materialize(shards(docs, text_col, lang_col), "shards")
+    known, levels = None, []
+    for m in range(1, rules.longest + 1):
+        level = shard_counts(parts, m, known).groupBy("lang", "gram").agg(F.sum("f").alias("f")).filter(F.col("f") >= rules.least)
+        with one_row_batches(docs.sparkSession):
+            levels.append(materialize(level.withColumn("m", F.lit(m)), f"phrases-{m}"))
+        if m < rules.longest:
+            known = phrase_filter(levels[-1], m)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
