@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,16 @@ def test_phrases_reach_the_filter_by_the_batch(spark, monkeypatch):
     assert sizes.value == 600 and calls.value <= 30
 
 
+def test_word_hashes_are_of_word_and_language():
+    words = ["a", "b", "ab", "ba", "été", "a", "𝔘", "x" * 3000, "é"]
+    one = collocations.word_hashes(pa.array(words), np.uint64(collocations.lang_hash("en")))
+    assert len(set(one.tolist())) == len(set(words)) and one[0] == one[5]
+    assert (collocations.word_hashes(pa.array(["zz", *words, "y"]).slice(1, len(words)), np.uint64(collocations.lang_hash("en"))) == one).all()
+    other = collocations.word_hashes(pa.array(words, pa.large_string()), np.array([collocations.lang_hash(x) for x in ["en"] * 4 + ["de"] * 5], np.uint64))
+    assert (other[:4] == one[:4]).all() and not set(other[4:].tolist()) & set(one.tolist())
+    assert len(collocations.word_hashes(pa.array([], pa.string()), np.uint64(0))) == 0
+
+
 def test_exact_scores_beyond_64_bits(spark):
     phrases = spark.createDataFrame([("en", "a b", 3 * 10**12, 2), ("en", "a", 7 * 10**12, 1), ("en", "b", 4 * 10**12, 1)], "lang string, gram string, f long, m int")
     row = collocations.scored(phrases).first()

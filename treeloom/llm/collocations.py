@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from .common import BATCH, BIN, LONG, STR, materialize, shuffle_partitions, struct
 from .ngram_join import mix
+from .repeats import BYTE_CODES, Hashes
 
 #: Ends of pieces become one word that no text holds, since all its bytes are ends of pieces themselves.
 END = b"."
@@ -96,13 +97,14 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     """Places of ids in order of their suffixes' first depth words at least, by prefix doubling."""
     rank = ids.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    if depth < 2:
+        return np.argsort(rank)
     reach = 1
     while reach < depth:
         after = np.zeros_like(rank)
         after[:-reach] = rank[reach:] + 1
         key = rank * (int(rank.max(initial=0)) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # ties in any order: they are split further or are equal to the depth asked for
         key = key[order]
         rank = np.empty_like(rank)
         rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
@@ -128,8 +130,19 @@ def intervals(ids: np.ndarray, order: np.ndarray, m: int) -> tuple[np.ndarray, n
     return order[first], np.diff(np.concatenate([first, [len(order)]]))
 
 
-def word_hash(lang: str, word: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{lang}\x00{word}".encode("utf-8", "surrogatepass"))
+def lang_hash(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
+def word_hashes(words: pa.Array, langs: np.ndarray | np.uint64) -> np.ndarray:
+    """Hash of each word and its language, whose hash is given; all words at once."""
+    words = words.cast(pa.large_string())
+    if not len(words):
+        return np.empty(0, np.uint64)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    h = Hashes(BYTE_CODES[np.frombuffer(data, np.uint8)[at[0] : at[-1]]])
+    return mix(h.of(at[:-1] - at[0], at[1:] - at[0]) ^ langs)
 
 
 def phrase_hashes(words: np.ndarray, m: int) -> np.ndarray:
@@ -151,10 +164,10 @@ def phrase_filter(frequent: DataFrame, m: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, grams = (c.to_pylist() for c in batch.columns)
-            if langs:
-                words = [word_hash(lang, w) for lang, gram in zip(langs, grams, strict=True) for w in gram.split(" ")]
-                h = phrase_hashes(np.array(words, np.uint64).reshape(len(langs), -1).T, m)[0]
+            if batch.num_rows:
+                langs = np.array([lang_hash(lang) for lang in batch.column(0).to_pylist()], np.uint64)
+                words = pc.split_pattern(batch.column(1), " ").flatten()
+                h = phrase_hashes(word_hashes(words, np.repeat(langs, m)).reshape(-1, m).T, m)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bit_places(h)) + 1)], names=["p"])
 
     places = frequent.select("lang", "gram").mapInArrow(run, struct(p=LONG))
@@ -176,7 +189,7 @@ def shard_counts(parts: DataFrame, m: int, known: np.ndarray | None) -> DataFram
                 ids, vocab = np.frombuffer(data.as_buffer(), np.uint32), words.values
                 ok = left_in_piece(ids) >= m
                 if shared is not None:
-                    hashes = np.array([0, *(word_hash(lang, w) for w in vocab.to_pylist())], np.uint64)[ids]
+                    hashes = np.concatenate([np.zeros(1, np.uint64), word_hashes(vocab, np.uint64(lang_hash(lang)))])[ids]
                     part = np.ones(len(ids) - m + 2, bool)
                     for p in bit_places(phrase_hashes(hashes, m - 1)):
                         part &= (shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
