@@ -12,11 +12,12 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pairs import spread
+from .pairs import batched, by_shape, column
+from .shaped import Forests, Values, groups
 
 #: kind: dict (a container), num, str, list or dist; left: place of the leftmost leaf below the node; depth: the root's is 0
 NODE = "struct<label:string,kind:string,num:double,text:string,items:array<string>,dist:map<string,double>,weight:double,depth:int,left:int>"
@@ -158,29 +159,153 @@ def _nodes(x) -> list[dict]:
     return [n if isinstance(n, dict) else n.asDict() for n in x] if x is not None else []
 
 
-def distances(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(a_id, b_id, distance, size_a, size_b, bound) of pairs (a_id, a, b_id, b) of trees. A null tree is an empty one."""
-
-    @F.pandas_udf("double")
-    def measured(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([Mapping(_nodes(x), _nodes(y), rules).distance() for x, y in zip(a, b, strict=True)], dtype=float)
-
-    def weight(tree: str) -> Column:
-        return F.coalesce(F.aggregate(tree, F.lit(0.0), lambda s, n: s + n["weight"]), F.lit(0.0))
-
-    sizes = [F.coalesce(F.size(t), F.lit(0)).cast("long").alias(f"size_{t}") for t in "ab"]
-    return spread(pairs).select("a_id", "b_id", measured("a", "b").alias("distance"), *sizes, (weight("a") + weight("b")).alias("bound"))
-
-
-SCRIPT = "array<struct<op:string,label:string,from:int,to:int,cost:double>>"
+def gaps(va: Values, i: int, vb: Values, j: int, kind: str) -> np.ndarray:
+    """value_cost of two nodes of one kind, for all pairs."""
+    if kind == "num":
+        x, y = va.numbers(i), vb.numbers(j)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cost = np.minimum(np.abs(np.log(x) - np.log(y)) / math.log(100.0), 1.0)
+            linear = np.minimum(np.abs(x - y) / np.maximum(np.abs(x), np.abs(y)), 1.0)
+        cost = np.where(x == y, 0.0, np.where((x <= 0) | (y <= 0), linear, cost))
+        return np.where(np.isnan(x) | np.isnan(y), 0.5, cost)
+    held = {"str": _text, "list": _items, "dist": _dist}[kind]
+    x, y = va.coded(i, held), vb.coded(j, held)
+    _, first, back = np.unique(x * np.int64(len(va.codes)) + y, return_index=True, return_inverse=True)
+    slot = {"str": "text", "list": "items", "dist": "dist"}[kind]
+    node = lambda v, row, at: {"kind": kind, slot: {"str": v.trees[row].texts, "list": v.trees[row].items, "dist": v.trees[row].dists or {at: None}}[kind][at]}
+    return np.array([value_cost(node(va, r, i), node(vb, r, j)) for r in first])[back]
+
+
+def _text(t, i: int):
+    return "str", t.texts[i]
+
+
+def _items(t, i: int):
+    return "list", None if t.items[i] is None else tuple(t.items[i])
+
+
+def _dist(t, i: int):
+    return "dist", tuple(sorted(dict(t.dists[i] or {}).items())) if t.dists else ()
+
+
+def swaps(a: list, b: list, rules: Rules) -> dict[tuple[int, int], np.ndarray | float]:
+    """update_cost of every two nodes of one label, for pairs of trees of the same two shapes."""
+    codes: dict = {}
+    va, vb, s, t, out = Values(a, codes), Values(b, codes), a[0], b[0], {}
+    at: dict[str, list[int]] = {}
+    for j, label in enumerate(t.labels):
+        at.setdefault(label, []).append(j)
+    for i, label in enumerate(s.labels):
+        for j in at.get(label, ()):
+            kind, weight = s.kinds[i], s.weights[i]
+            if kind != t.kinds[j]:
+                out[i, j] = weight
+            elif kind == "dict":
+                out[i, j] = 0.0
+            elif kind in ("num", "str", "list", "dist"):
+                x = gaps(va, i, vb, j, kind)
+                cost = np.clip(x, 0.0, 1.0)
+                cost = {1: cost, 3: cost * cost * (3 - 2 * cost), 5: cost * cost * cost * (cost * (6 * cost - 15) + 10)}[rules.sharpness] * weight
+                out[i, j] = cost / (1 + s.depths[i]) if rules.depth_factor else cost
+            else:
+                out[i, j] = update_cost({"label": label, "kind": kind, "weight": weight, "depth": s.depths[i]}, {"label": label, "kind": kind}, rules)
+    return out
+
+
+def _mapped(a: list, b: list, rules: Rules, keep: bool = False) -> Forests:
+    s, t = a[0], b[0]
+    return Forests(s.left, t.left, s.weights, t.weights, swaps(a, b, rules), len(a), keep)
+
+
+def _readers(read):
+    from .nested import read_nodes  # it builds on this module
+
+    return read or read_nodes
+
+
+def distances(pairs: DataFrame, rules: Rules = Rules(), read=None) -> DataFrame:
+    """(a_id, b_id, distance, size_a, size_b, bound) of pairs (a_id, a, b_id, b) of trees. A null tree is an empty one.
+
+    read: what makes trees of a and b, if they are none yet (nested.read_texts).
+    """
+    read = _readers(read)
+
+    def run(t: pa.Table) -> dict:
+        a, b = read(column(t, "a")), read(column(t, "b"))
+        far = np.empty(len(a))
+        for rows in groups(a, b):
+            far[rows] = _mapped([a[r] for r in rows], [b[r] for r in rows], rules).distance()
+        bound = [sum(x.weights) + sum(y.weights) for x, y in zip(a, b, strict=True)]
+        return {"a_id": column(t, "a_id"), "b_id": column(t, "b_id"), "distance": far, "size_a": [len(x) for x in a], "size_b": [len(x) for x in b], "bound": np.array(bound, dtype=float)}
+
+    return batched(by_shape(pairs), run, f"{_ids(pairs)}, distance double, size_a long, size_b long, bound double")
+
+
+def _ids(pairs: DataFrame) -> str:
+    return ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in ("a_id", "b_id"))
+
+
+def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """As math.isclose with abs_tol=1e-9."""
+    return np.abs(x - y) <= np.maximum(1e-9 * np.maximum(np.abs(x), np.abs(y)), 1e-9)
+
+
+def _traces(a: list, b: list, rules: Rules) -> list[list[tuple]]:
+    """Mapping.script of each pair, of trees of the same two shapes."""
+    s, t = a[0], b[0]
+    if not (len(s) and len(t)):
+        return [[("delete", x, i, None, w) for i, (x, w) in enumerate(zip(s.labels, s.weights, strict=True))] + [("insert", x, None, j, w) for j, (x, w) in enumerate(zip(t.labels, t.weights, strict=True))]] * len(a)
+    m = _mapped(a, b, rules, keep=True)
+    la, lb, choices = s.left, t.left, {}
+    for (li, lj), f in m.tables.items():
+        n, k = f.shape[0] - 1, f.shape[1] - 1
+        choice = np.full(f.shape, 2, np.uint8)  # 0: delete, 1: insert, 2: neither
+        choice[:, 1:][_close(f[:, 1:], f[:, :-1] + np.array(t.weights[lj : lj + k])[None, :, None])] = 1
+        choice[1:][_close(f[1:], f[:-1] + np.array(s.weights[li : li + n])[:, None, None])] = 0
+        choices[li, lj] = choice
+    out = []
+    for row in range(len(a)):
+        ops, todo, own = [], [(len(s) - 1, len(t) - 1)], {}
+        while todo:
+            x, y = todo.pop()
+            li, lj = la[x], lb[y]
+            if (li, lj) not in own:
+                own[li, lj] = choices[li, lj][:, :, row].tolist()
+            choice = own[li, lj]
+            while x >= li or y >= lj:
+                step = choice[x - li + 1][y - lj + 1]
+                if step == 0:
+                    ops.append(("delete", s.labels[x], x, None, s.weights[x]))
+                    x -= 1
+                elif step == 1:
+                    ops.append(("insert", t.labels[y], None, y, t.weights[y]))
+                    y -= 1
+                elif la[x] == li and lb[y] == lj:
+                    swap = m.swap[x, y]
+                    cost = float(swap if isinstance(swap, float) else swap[row])
+                    ops.append(("update" if cost > 0 else "match", s.labels[x], x, y, cost))
+                    x, y = x - 1, y - 1
+                else:
+                    todo.append((x, y))
+                    x, y = la[x] - 1, lb[y] - 1
+        out.append(ops[::-1])
+    return out
 
 
-def scripts(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def scripts(pairs: DataFrame, rules: Rules = Rules(), read=None) -> DataFrame:
     """(a_id, b_id, seq, op, label, from, to, cost): what each node of either tree becomes."""
-
-    @F.pandas_udf(SCRIPT)
-    def traced(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("op", "label", "from", "to", "cost"), o, strict=True)) for o in Mapping(_nodes(x), _nodes(y), rules).script()] for x, y in zip(a, b, strict=True)])
-
-    rows = spread(pairs).select("a_id", "b_id", F.posexplode(traced("a", "b")).alias("seq", "o"))
-    return rows.select("a_id", "b_id", F.col("seq").cast("long").alias("seq"), "o.*")
+    read = _readers(read)
+
+    def run(t: pa.Table) -> dict:
+        a, b = read(column(t, "a")), read(column(t, "b"))
+        at: list[np.ndarray] = []
+        seq, ops = [], []
+        for rows in groups(a, b):
+            for row, made in zip(rows.tolist(), _traces([a[r] for r in rows], [b[r] for r in rows], rules), strict=True):
+                at.append(np.full(len(made), row))
+                seq += range(len(made))
+                ops += made
+        take = pa.array(np.concatenate(at) if at else np.zeros(0, int))
+        return {"a_id": column(t, "a_id").take(take), "b_id": column(t, "b_id").take(take), "seq": seq} | {k: [o[n] for o in ops] for n, k in enumerate(("op", "label", "from", "to", "cost"))}
+
+    return batched(by_shape(pairs), run, f"{_ids(pairs)}, seq long, op string, label string, from int, to int, cost double")
