@@ -6,6 +6,7 @@ Trees are columns (operators.nested). A leaf with a value is compared by its val
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Callable
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import saved
 from . import weighted as W
-from .nested import Tree
-from .pairs import spread
+from .nested import Tree, read_nodes
+from .pairs import batched, by_shape, column, spread
+from .shaped import Forests, Values, groups
 from .trees import tree_distance
 
 
@@ -100,6 +102,8 @@ DISTANCES: dict[str, Callable[[Tree, Tree], float]] = {"sequence": sequence_dist
 #: by 1 + d, by both sizes, by the larger size
 NORMS = {"inverse": lambda d, m, n: 1 / (1 + d), "sum": lambda d, m, n: max(0.0, 1 - d / (m + n)) if m + n else 1.0, "max": lambda d, m, n: max(0.0, 1 - d / max(m, n)) if m + n else 1.0}
 
+NORM_VECTORS = {"inverse": NORMS["inverse"], "sum": lambda d, m, n: np.maximum(0.0, 1 - d / (m + n)) if m + n else np.ones_like(d), "max": lambda d, m, n: np.maximum(0.0, 1 - d / max(m, n)) if m + n else np.ones_like(d)}
+
 
 def tag_features(t: Tree) -> list[str]:
     return [t.labels[i] for i in t.preorder()]
@@ -236,17 +240,124 @@ class Comparison:
         return VARIANTS[rest[0]](x, y, *rest[1:])
 
 
-def compare_all(pairs: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
-    """(a_id, b_id, place, method, similarity) of pairs (a_id, a, b_id, b) of trees, a row a method. A null tree is an empty one."""
+class Labels:
+    """What the nodes of trees of one shape are compared by (compared_labels): one label, or texts and numbers, a vector a node."""
+
+    def __init__(self, trees: list[Tree], codes: dict):
+        self.values, t = Values(trees, codes), trees[0]
+        self.fixed: list[str | None] = []  # the label where it is the same in all trees
+        for i, own in enumerate(t.children()):
+            held = any(x.texts[i] is not None or x.numbers[i] is not None for x in trees)
+            self.fixed.append(t.labels[i] if own or not held else None)
+
+    def numbers(self, i: int) -> np.ndarray | float:
+        """As a number, NaN for other texts."""
+        if self.fixed[i] is not None:
+            return np.nan if (x := as_number(self.fixed[i])) is None else x
+        return self.values.made(("as number", i), lambda: np.array([np.nan if (x := as_number(self.text(t, i))) is None else x for t in self.values.trees]) if any(t.numbers[i] is None for t in self.values.trees) else np.where(np.isfinite(x := self.values.numbers(i)), x, np.nan))
+
+    @staticmethod
+    def text(t: Tree, i: int) -> str:
+        value = t.texts[i] if t.numbers[i] is None else str(t.numbers[i])
+        return t.labels[i] if value is None else value
+
+    def coded(self, i: int) -> np.ndarray | int:
+        if self.fixed[i] is not None:
+            return self.values.codes.setdefault(self.fixed[i], len(self.values.codes))
+        return self.values.coded(i, self.text)
+
+
+def relabel_costs(x: Labels, i: int, y: Labels, j: int) -> np.ndarray | float:
+    """relabel_cost, for all pairs."""
+    if x.fixed[i] is not None and y.fixed[j] is not None:
+        return relabel_cost(x.fixed[i], y.fixed[j])
+    m, n = x.numbers(i), y.numbers(j)
+    known = ~np.isnan(m) & ~np.isnan(n)  # equal texts of numbers have no gap
+    with np.errstate(invalid="ignore"):
+        gap = np.minimum(np.abs(m - n) / np.maximum(np.maximum(np.abs(m), np.abs(n)), 2.220446049250313e-16), 1.0)
+    if known.all():
+        return gap
+    return np.where(known, gap, x.coded(i) != y.coded(j))
+
+
+def group_distances(a: list[Tree], b: list[Tree]) -> dict[str, np.ndarray]:
+    """DISTANCES of pairs of trees of the same two shapes."""
+    s, t, width = a[0], b[0], len(a)
+    if not (len(s) and len(t)):
+        return dict.fromkeys(DISTANCES, np.full(width, float(len(s) + len(t))))
+    codes: dict = {}
+    x, y = Labels(a, codes), Labels(b, codes)
+    made: dict[tuple[int, int], np.ndarray | float] = {}
+
+    def relabel(i: int, j: int) -> np.ndarray | float:
+        if (i, j) not in made:
+            made[i, j] = relabel_costs(x, i, y, j)
+        return made[i, j]
+
+    # sequence
+    inner = [np.full(width, float(n)) for n in range(len(t) + 1)]
+    order = [(j, t.depths[j]) for j in t.preorder()]
+    for n, i in enumerate(s.preorder(), 1):
+        above, inner = inner, [np.full(width, float(n))]
+        for k, (j, depth) in enumerate(order):
+            best = np.minimum(above[k + 1], inner[k]) + 1
+            inner.append(np.minimum(best, above[k] + relabel(i, j)) if depth == s.depths[i] else best)
+    # children
+    ak, bk = s.children(), t.children()
+    known: dict[tuple[int, int], np.ndarray] = {}
+
+    def whole(p: Tree, i: int, pk: list, q: Tree, j: int, qk: list) -> float:
+        return 1.0 if labels_contained(p, i, pk, q, j, qk) else float(i - p.left[i] + 1)
+
+    def distance(i: int, j: int) -> np.ndarray:
+        if (i, j) not in known:
+            row = [np.full(width, float(n)) for n in range(len(bk[j]) + 1)]
+            new = [whole(t, k, bk, s, i, ak) for k in bk[j]]
+            for n, k in enumerate(ak[i], 1):
+                out, above, row = whole(s, k, ak, t, j, bk), row, [np.full(width, float(n))]
+                for at, m in enumerate(bk[j]):
+                    row.append(np.minimum(np.minimum(above[at + 1] + out, row[at] + new[at]), above[at] + distance(k, m) + relabel(k, m)))
+            known[i, j] = row[-1]
+        return known[i, j]
+
+    children = distance(len(s) - 1, len(t) - 1) + relabel(len(s) - 1, len(t) - 1)
+    swap = {(i, j): relabel(i, j) for i in range(len(s)) for j in range(len(t))}
+    forest = Forests(s.left, t.left, [1.0] * len(s), [1.0] * len(t), swap, width).distance()
+    return {"sequence": inner[-1], "children": children, "forest": forest}
+
+
+@functools.lru_cache(1 << 12)
+def shape_likeness(labels_a: tuple, left_a: tuple, labels_b: tuple, left_b: tuple, methods: tuple[str, ...]) -> list[float]:
+    """By each method that asks for labels and form alone; NaN for distances."""
+    both = Comparison(*(shape_tree({"labels": list(x), "left": list(y), "values": None}) for x, y in ((labels_a, left_a), (labels_b, left_b))))
+    return [np.nan if m.split("/")[0] in DISTANCES else both.likeness(m) for m in methods]
 
-    @F.pandas_udf("array<double>")
-    def measured(a: pd.Series, b: pd.Series) -> pd.Series:
-        both = (Comparison(Tree.of(x), Tree.of(y)) for x, y in zip(a, b, strict=True))
-        return pd.Series([[c.likeness(m) for m in methods] for c in both])
 
-    names = F.array(*[F.lit(m) for m in methods])
-    rows = spread(pairs).select("a_id", "b_id", F.posexplode(measured("a", "b")).alias("place", "similarity"))
-    return rows.select("a_id", "b_id", "place", F.get(names, F.col("place")).alias("method"), "similarity")
+def compare_all(pairs: DataFrame, methods: tuple[str, ...] = METHODS, read=None) -> DataFrame:
+    """(a_id, b_id, place, method, similarity) of pairs (a_id, a, b_id, b) of trees, a row a method. A null tree is an empty one.
+
+    Features and tag signals are those of shapes, so they are compared once for all pairs of the same two shapes.
+    """
+    read = read or read_nodes
+    measured = [m for m in methods if m.split("/")[0] in DISTANCES]
+
+    def run(table: pa.Table) -> dict:
+        a, b = read(column(table, "a")), read(column(table, "b"))
+        out = np.empty((len(a), len(methods)))
+        for rows in groups(a, b):
+            s, t = a[rows[0]], b[rows[0]]
+            far = group_distances([a[r] for r in rows], [b[r] for r in rows]) if measured else {}
+            out[rows] = shape_likeness(tuple(s.labels), tuple(s.left), tuple(t.labels), tuple(t.left), methods)
+            for n, m in enumerate(methods):
+                if m in measured:
+                    name, norm = m.split("/")
+                    out[rows, n] = NORM_VECTORS[norm](far[name], len(s), len(t))
+        n = len(methods)
+        take = pa.array(np.repeat(np.arange(len(a)), n))
+        return {"a_id": column(table, "a_id").take(take), "b_id": column(table, "b_id").take(take), "place": np.tile(np.arange(n, dtype=np.int32), len(a)), "method": pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(n, dtype=np.int32), len(a))), pa.array(methods, pa.string())).cast(pa.string()), "similarity": out.ravel()}
+
+    ids = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in ("a_id", "b_id"))
+    return batched(by_shape(pairs), run, f"{ids}, place int, method string, similarity double")
 
 
 def tree_distances(pairs: DataFrame) -> DataFrame:

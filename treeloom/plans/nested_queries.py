@@ -226,7 +226,7 @@ def page_tree_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def compare_all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty methods over each order's document and the next one's."""
-    return C.compare_all(_order_trees(spark, sf_dir, "json")).select("a_id", "b_id", "method", F.round("similarity", 6).alias("similarity"))
+    return C.compare_all(_order_pairs(spark, sf_dir), read=N.read_texts("json")).select("a_id", "b_id", "method", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
