@@ -180,10 +180,6 @@ def _page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 WEIGHTS = {"lines": 0.3, "head": 0.3, "root": 0.1, "total": 2.5, "n": 1.5, "top": 0.5, "quantity": 2.0}
 
 
-def _order_trees(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    return P.adjacent(N.trees(order_documents(spark, sf_dir), "id", "json", form, WEIGHTS), "id", "tree")
-
-
 def _order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of texts: they become trees where pairs are measured, as a text is a tenth of its tree."""
     return P.adjacent(order_documents(spark, sf_dir), "id", "json")
@@ -198,23 +194,21 @@ def nested_weighted_ted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def recursive_ted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both settings of the recursive distance, over adjacent orders' documents."""
-    pairs = _order_trees(spark, sf_dir, "items")
-    late, early = (R.distances(pairs, c) for c in (R.LATER, R.EARLY))
-    return late.join(early.select("a_id", "b_id", F.col("distance").alias("early_distance"), F.col("similarity").alias("early_similarity")), ["a_id", "b_id"])
+    d = R.distances(_order_pairs(spark, sf_dir), R.LATER, N.read_texts("items"), {"early": R.EARLY})
+    return d.select("a_id", "b_id", "distance", "similarity", "size_a", "size_b", "early_distance", "early_similarity")
 
 
 @query()
 def recursive_script_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recursive script's operations by top-level section, over all adjacent orders."""
-    ops = R.scripts(_order_trees(spark, sf_dir, "items"))
+    ops = R.scripts(_order_pairs(spark, sf_dir), read=N.read_texts("items"), nodes=False)
     return ops.groupBy("section", "op").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 3).alias("cost"))
 
 
 @query(f"WITH {_NODES} SELECT a.id AS a_id, a.id + 1 AS b_id, true AS \"equal\", true AS exact FROM d a JOIN d b ON b.id = a.id + 1")
 def recursive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replay by patch ids of each complete script: the patched tree is the next document's."""
-    pairs = saved(_order_trees(spark, sf_dir, "items"), "pairs")
-    return R.replayed(pairs, R.scripts(pairs, complete=True)).select("a_id", "b_id", "equal", "exact")
+    return R.round_trips(_order_pairs(spark, sf_dir), read=N.read_texts("items")).select("a_id", "b_id", "equal", "exact")
 
 
 @query()
