@@ -44,12 +44,6 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("id", F.concat(F.substring(head, 1, F.length(head) - 1), F.when(F.col("lines") == 1, one).otherwise(several)).alias("json"))
 
 
-def _adjacent(rows: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
-    """(pair, value) of each document and of the next one."""
-    both = P.adjacent(rows, "id", value)
-    return both.select(F.col("a_id").alias("pair"), F.col("a").alias(value)), both.select(F.col("a_id").alias("pair"), F.col("b").alias(value))
-
-
 _NODES = """f AS (SELECT l_orderkey id, l_returnflag flag, count(*) n, max(l_linenumber) top, sum(l_quantity) q FROM lineitem GROUP BY 1, 2),
 l AS (SELECT id, sum(n) lines FROM f GROUP BY 1),
 d AS (SELECT o_orderkey id, o_orderpriority p, o_orderstatus s, CASE WHEN o_totalprice > 200000 THEN o_totalprice END total, lines FROM orders JOIN l ON l.id = o_orderkey),
@@ -84,31 +78,21 @@ k AS (SELECT *, CASE op WHEN 'update' THEN list_transform(nt, lambda x: [0, x])
 ops AS (SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY ord) seq, op, path, CASE WHEN op = 'insert' THEN nt[-1] END AS "index", coalesce(path[-1], 'root') AS label, old_type, new_type, old_value, new_value FROM k)"""
 
 
-def _ops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, nexts = _adjacent(order_documents(spark, sf_dir), "json")
-    docs, nexts = saved(docs, "documents"), saved(nexts, "documents")
-    return docs, nexts, D.script(D.node_rows(docs, "pair", "json"), D.node_rows(nexts, "pair", "json"))
-
-
 @query(f"{_DIFF} SELECT pair, seq, op, array_to_string(path, '/') AS path, \"index\", label, old_type, new_type, old_value, new_value FROM ops")
 def nested_diff_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The script from each order's document to the next one's, with child places and changes of kind."""
-    return _ops(spark, sf_dir)[2].withColumn("path", F.array_join("path", "/"))
+    return D.scripts(_order_pairs(spark, sf_dir)).withColumn("path", F.array_join("path", "/"))
 
 
 @query(f"{_DIFF} SELECT coalesce(path[1], 'root') section, count(*) n_ops, count_if(op = 'update')::BIGINT n_update, count_if(op = 'delete')::BIGINT n_delete, count_if(op = 'insert')::BIGINT n_insert FROM ops GROUP BY 1")
 def nested_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.summary(_ops(spark, sf_dir)[2])
+    return D.summary(D.scripts(_order_pairs(spark, sf_dir), columns=("pair", "op", "path")))
 
 
 @query(f"WITH {_NODES} SELECT a.id AS pair, true AS \"equal\", true AS same_order, true AS inverse_equal FROM d a JOIN d b ON b.id = a.id + 1")
 def nested_patch_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered replay of each script gives the next document, and of its inverse the first one."""
-    docs, nexts, ops = _ops(spark, sf_dir)
-    ops = saved(ops, "ops")
-    there = D.verified(D.apply_script(docs, "pair", "json", ops), nexts, "pair", "json")
-    back = D.verified(D.apply_script(nexts, "pair", "json", D.invert(ops)), docs, "pair", "json")
-    return there.join(back.select("pair", F.col("equal").alias("inverse_equal")), "pair", "full_outer")
+    return D.replays(_order_pairs(spark, sf_dir))
 
 
 _INVERSE = _DIFF.replace("ops AS (", "there AS (", 1) + """, m AS (SELECT pair, max(seq) last FROM there GROUP BY 1), ops AS (SELECT pair, last + 1 - seq seq, CASE op WHEN 'insert' THEN 'delete' WHEN 'delete' THEN 'insert' ELSE op END op, path, label, new_type old_type, old_type new_type, new_value old_value, old_value new_value FROM there JOIN m USING (pair))"""
@@ -116,12 +100,12 @@ _INVERSE = _DIFF.replace("ops AS (", "there AS (", 1) + """, m AS (SELECT pair,
 
 @query(f"{_INVERSE} SELECT pair, seq, op, array_to_string(path, '/') AS path, NULL::INTEGER AS \"index\", label, old_type, new_type, old_value, new_value FROM ops")
 def nested_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.invert(_ops(spark, sf_dir)[2]).withColumn("path", F.array_join("path", "/"))
+    return D.scripts(_order_pairs(spark, sf_dir), inverse=True).withColumn("path", F.array_join("path", "/"))
 
 
 @query(f"""{_DIFF} SELECT pair, string_agg(CASE op WHEN 'insert' THEN 'insert root' || p || ' = ' || new_value WHEN 'delete' THEN 'delete root' || p ELSE 'update root' || p || ': ' || old_value || ' -> ' || new_value END, chr(10) ORDER BY seq) AS text FROM (SELECT *, list_aggregate(list_transform(path, lambda x: '/' || x), 'string_agg', '') p FROM ops) GROUP BY 1""")
 def nested_script_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.script_lines(_ops(spark, sf_dir)[2])
+    return D.script_texts(_order_pairs(spark, sf_dir))
 
 
 _FLAT = _NODES + ", z AS (SELECT a.id AS pair, y.value FROM d a JOIN n y ON y.id = a.id + 1 AND len(y.path) = 0)"
@@ -130,10 +114,7 @@ _FLAT = _NODES + ", z AS (SELECT a.id AS pair, y.value FROM d a JOIN n y ON y.id
 @query(f"{_DIFF}, e AS (SELECT ids.id pair, count(ops.pair) last FROM ids LEFT JOIN ops ON ops.pair = ids.id GROUP BY 1) SELECT e.pair, last AS seq, value AS json FROM e JOIN (SELECT id, value FROM t WHERE len(path) = 0) x ON x.id = e.pair UNION ALL SELECT e.pair, 0, value FROM e JOIN s ON s.id = e.pair AND len(path) = 0 WHERE last > 0")
 def nested_patch_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last snapshot of each replay: the document and the next one, key order included."""
-    docs, _, ops = _ops(spark, sf_dir)
-    steps = saved(D.snapshots(docs, "pair", "json", ops), "snapshots")
-    last = steps.groupBy("pair").agg(F.max("seq").alias("last"))
-    return steps.join(last, "pair").filter("seq = 0 or seq = last").select("pair", "seq", "json")
+    return D.replay_ends(_order_pairs(spark, sf_dir))
 
 
 _FEATURES = f"""WITH {_NODES}, x AS (SELECT id, 'root' || coalesce(list_aggregate(list_transform(path, lambda x: '/' || x), 'string_agg', ''), '') p, coalesce(path[-1], 'root') label, CASE WHEN len(path) = 1 THEN 'root' ELSE path[-2] END up, path, kind FROM n),
