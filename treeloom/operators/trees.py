@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pairs import adjacent
+from .pairs import adjacent, batched, column, spread
+from .shaped import Subtrees, worker_subtrees
 
 
 def json_leaves(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -85,17 +86,31 @@ def tree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]
     return float(tree[-1, -1])
 
 
+def subtree_distance(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]], known: Subtrees) -> float:
+    """tree_distance; what it finds out of subtrees stays known."""
+    (la, ka), (lb, kb) = a, b
+    if not la or not lb or not known.fits(len(la) + len(lb)):
+        return tree_distance(a, b)
+    return known.distance(known.numbered(la, ka), ka, known.numbered(lb, kb), kb, lambda: np.array(la, dtype=object)[:, None] != np.array(lb, dtype=object))
+
+
 def adjacent_page_distance(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(a_id, b_id, distance, similarity) of the tag trees of each page and the next."""
-
-    @F.pandas_udf("struct<distance:double,size_a:long,size_b:long>")
-    def measured(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(a, b, strict=True):
-            s, t = postorder(x), postorder(y)
-            rows.append((tree_distance(s, t), len(s[0]), len(t[0])))
-        return pd.DataFrame(rows, columns=["distance", "size_a", "size_b"])
-
-    rows = adjacent(pages, id_col, html_col).select("a_id", "b_id", measured("a", "b").alias("m"))
-    size = F.col("m.size_a") + F.col("m.size_b")
-    return rows.select("a_id", "b_id", "m.distance", F.round(F.when(size == 0, F.lit(1.0)).otherwise(1 - F.col("m.distance") / size), 6).alias("similarity"))
+    """(a_id, b_id, distance, similarity) of the tag trees of each page and the next. Pages meet as trees, each read once."""
+
+    @F.arrow_udf("struct<labels:array<string>,left:array<int>>")
+    def grown(html: pa.Array) -> pa.Array:
+        both = [postorder(x) for x in html.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in both], pa.list_(pa.string())), pa.array([x for _, x in both], pa.list_(pa.int32()))], ["labels", "left"])
+
+    def measured(t: pa.Table) -> dict:
+        known, far, sizes = worker_subtrees("tags"), [], []
+        read = lambda side: zip(*(column(t, side).field(k).to_pylist() for k in ("labels", "left")), strict=True)
+        for x, y in zip(read("a"), read("b"), strict=True):
+            far.append(subtree_distance(x, y, known))
+            sizes.append(len(x[0]) + len(y[0]))
+        return {"a_id": column(t, "a_id"), "b_id": column(t, "b_id"), "distance": far, "size": sizes}
+
+    pairs = adjacent(pages.select(id_col, grown(html_col).alias("tree")), id_col, "tree")
+    kind = pairs.schema["a_id"].dataType.simpleString()
+    rows = batched(spread(pairs), measured, f"a_id {kind}, b_id {kind}, distance double, size long")
+    return rows.select("a_id", "b_id", "distance", F.round(F.when(F.col("size") == 0, F.lit(1.0)).otherwise(1 - F.col("distance") / F.col("size")), 6).alias("similarity"))
