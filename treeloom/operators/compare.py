@@ -22,7 +22,7 @@ from ..sources.scratch import saved
 from . import weighted as W
 from .nested import Tree, read_nodes
 from .pairs import batched, by_shape, column, spread
-from .shaped import Forests, Values, groups
+from .shaped import Forests, Subtrees, Values, groups, worker_subtrees
 from .trees import tree_distance
 
 
@@ -360,15 +360,89 @@ def compare_all(pairs: DataFrame, methods: tuple[str, ...] = METHODS, read=None)
     return batched(by_shape(pairs), run, f"{ids}, place int, method string, similarity double")
 
 
-def tree_distances(pairs: DataFrame) -> DataFrame:
+def tokens(x: list[str], y: list[str], plain: set[str]) -> tuple[list, list]:
+    """Labels as they tell on each other, so that different pairs have tokens in common.
+
+    Those that meet neither their like nor, as numbers, a number are all the same, a token a side; other texts that both
+    sides have go by the order of their appearance. plain: labels (tags) that stay as they are where both sides have them.
+    """
+    s, t = {*x}, {*y}
+    m, n = ({v for v in u if as_number(v) is not None} for u in (s, t))
+    numbers = (m if n else set()) | (n if m else set())
+    given: dict[str, object] = {v: v for v in numbers | (s & t & plain)}
+    shared = 0
+    for v in x:
+        if v in t and v not in given:
+            given[v] = ("=", shared := shared + 1)
+    return [given.get(v, (1,)) for v in x], [given.get(v, (2,)) for v in y]
+
+
+def token_costs(x: list, y: list) -> np.ndarray:
+    """relabel_cost of every two tokens."""
+    codes: dict = {}
+    a, b = (np.array([codes.setdefault(v, len(codes)) for v in u]) for u in (x, y))
+    out = (a[:, None] != b).astype(float)
+    numbers = [np.array([np.nan if not isinstance(v, str) or (n := as_number(v)) is None else n for v in u]) for u in (x, y)]
+    for i in np.flatnonzero(~np.isnan(numbers[0])):
+        for j in np.flatnonzero(~np.isnan(numbers[1])):
+            out[i, j] = relabel_cost(x[i], y[j])
+    return out
+
+
+def known_distances(s: Tree, t: Tree, known: Subtrees) -> tuple[float, ...]:
+    """DISTANCES of two trees; what is found out of subtrees stays known."""
+    if not (len(s) and len(t)) or not known.fits(len(s) + len(t)):
+        return tuple(d(s, t) for d in DISTANCES.values())
+    x, y = tokens(compared_labels(s), compared_labels(t), {*s.labels, *t.labels})
+    a, b = (known.numbered(list(zip(u.labels, v, strict=True)), u.left) for u, v in ((s, x), (t, y)))
+    whole = ("all", a[-1], b[-1])
+    if whole in known.more:
+        return known.more[whole]
+    costs = token_costs(x, y)
+    # sequence
+    p, q = s.preorder(), t.preorder()
+    swap = np.where(np.array(s.depths)[p][:, None] == np.array(t.depths)[q], costs[np.ix_(p, q)], np.inf)
+    steps = np.arange(len(q) + 1, dtype=float)
+    row = steps.copy()
+    for i in range(len(p)):
+        best = np.concatenate([[i + 1.0], np.minimum(row[1:] + 1, row[:-1] + swap[i])])
+        row = np.minimum.accumulate(best - steps) + steps
+    # children
+    ak, bk, more = s.children(), t.children(), known.more
+
+    def out_cost(u: Tree, i: int, uk: list, ui: list[int], v: Tree, j: int, vk: list, vi: list[int]) -> float:
+        key = "in", ui[i], vi[j]
+        if key not in more:
+            more[key] = labels_contained(u, i, uk, v, j, vk)
+        return 1.0 if more[key] else float(i - u.left[i] + 1)
+
+    def distance(i: int, j: int) -> float:
+        key = "children", a[i], b[j]
+        if key not in more:
+            line = [float(n) for n in range(len(bk[j]) + 1)]
+            new = [out_cost(t, k, bk, b, s, i, ak, a) for k in bk[j]]
+            for n, k in enumerate(ak[i], 1):
+                out, above, line = out_cost(s, k, ak, a, t, j, bk, b), line, [float(n)]
+                for at, m in enumerate(bk[j]):
+                    line.append(min(above[at + 1] + out, line[at] + new[at], above[at] + distance(k, m) + costs[k, m]))
+            more[key] = float(line[-1])
+        return more[key]
+
+    children = distance(len(s) - 1, len(t) - 1) + float(costs[-1, -1])
+    forest = known.distance(a, s.left, b, t.left, lambda: costs)
+    return more.setdefault(whole, (float(row[-1]), children, forest))
+
+
+def tree_distances(pairs: DataFrame, read=read_nodes) -> DataFrame:
     """(a_id, b_id, sequence, children, forest, size_a, size_b)."""
 
-    @F.pandas_udf("struct<sequence:double,children:double,forest:double,size_a:long,size_b:long>")
-    def measured(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        both = [(Tree.of(x), Tree.of(y)) for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame([(*(d(s, t) for d in DISTANCES.values()), len(s), len(t)) for s, t in both], columns=[*DISTANCES, "size_a", "size_b"])
+    def run(table: pa.Table) -> dict:
+        a, b, known = read(column(table, "a")), read(column(table, "b")), worker_subtrees("labels")
+        far = [known_distances(s, t, known) for s, t in zip(a, b, strict=True)]
+        return {"a_id": column(table, "a_id"), "b_id": column(table, "b_id"), "size_a": [len(x) for x in a], "size_b": [len(x) for x in b]} | {k: [d[n] for d in far] for n, k in enumerate(DISTANCES)}
 
-    return spread(pairs).select("a_id", "b_id", measured("a", "b").alias("m")).select("a_id", "b_id", "m.*")
+    ids = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in ("a_id", "b_id"))
+    return batched(spread(pairs), run, f"{ids}, sequence double, children double, forest double, size_a long, size_b long")
 
 
 def features(trees: DataFrame) -> DataFrame:
@@ -381,6 +455,26 @@ def features(trees: DataFrame) -> DataFrame:
     return trees.select("id", F.explode(found("tree")).alias("f")).select("id", "f.*")
 
 
+def feature_counts(rows: DataFrame, text: str, read) -> DataFrame:
+    """(kind, feature, n): how often each feature occurs in all trees of a column of texts (read: nested.read_texts).
+
+    Features are those of labels and form, so a task makes those of each shape once, and gives sums, not rows a tree.
+    """
+
+    def run(table: pa.Table) -> dict:
+        shapes = Counter((tuple(t.labels), tuple(t.left)) for t in read(column(table, text)))
+        found: Counter[tuple[str, str]] = Counter()
+        for (labels, left), times in shapes.items():
+            t = shape_tree({"labels": list(labels), "left": list(left), "values": None})
+            for kind, make in FEATURES.items():
+                for feature, n in Counter(make(t)).items():
+                    found[kind, feature] += n * times
+        return {"kind": [k for k, _ in found], "feature": [f for _, f in found], "n": list(found.values())}
+
+    counted = batched(rows.select(text), run, "kind string, feature string, n long", most_bytes=1 << 22)
+    return counted.groupBy("kind", "feature").agg(F.sum("n").alias("n"))
+
+
 def label_script(x: list[str], y: list[str]) -> list[tuple[str, str, str | None]]:
     """(op, node, to): cheapest way from one sequence of labels to the other; changes before deletions before insertions, from the end."""
     table = [list(range(len(y) + 1))]

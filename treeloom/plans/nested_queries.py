@@ -195,7 +195,7 @@ def recursive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_tree_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By sequences, by child lists and by forests: distances of each page's tags and the next one's."""
-    return C.tree_distances(_page_pairs(spark, sf_dir))
+    return C.tree_distances(P.adjacent(table(spark, sf_dir, "pages"), "page_id", "html"), N.read_texts("markup"))
 
 
 @query()
