@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -76,9 +77,15 @@ def batched(rows: DataFrame, run: Callable[[pa.Table], pa.Table | dict], form: s
             for cut in cuts:
                 full = cut is None or sum(b.num_rows for b in held) + cut.num_rows > most_rows or sum(b.nbytes for b in held) + cut.nbytes > most_bytes
                 if held and full:
-                    made = run(pa.Table.from_batches(held).combine_chunks())
-                    yield from (pa.table(made, schema=schema) if isinstance(made, dict) else made.cast(schema)).to_batches(max_chunksize=10000)
+                    gc.disable()  # so many small objects at a time cost more to look through than to make
+                    try:
+                        made = run(pa.Table.from_batches(held).combine_chunks())
+                    finally:
+                        gc.enable()
                     held = []
+                    yield from (pa.table(made, schema=schema) if isinstance(made, dict) else made.cast(schema)).to_batches(max_chunksize=10000)
+                    del made
+                    gc.collect()
                 if cut is not None:
                     held.append(cut)
 

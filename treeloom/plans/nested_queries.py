@@ -34,7 +34,8 @@ def query(sql: str | None = None):
 
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, json): head, total if it is large, and lines: by return flag, or just their number where there is one line."""
-    flags = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("top"), F.sum("l_quantity").alias("quantity"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_quantity").repartition("l_orderkey")  # both groupings and the join go by it
+    flags = lines.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("top"), F.sum("l_quantity").alias("quantity"))
     part = F.struct(F.col("n").cast("double").alias("n"), F.col("top").cast("double").alias("top"), F.when(F.col("quantity") > 50, F.col("quantity")).alias("quantity"))
     lines = flags.groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("n").alias("lines"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("l_returnflag", part.alias("part"))))).alias("by_flag"))
     o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("id"))
@@ -125,14 +126,13 @@ r AS (SELECT 'tag' kind, label feature FROM x UNION ALL SELECT 'edge', up || '/'
 @query(f"{_FEATURES} SELECT kind, feature, count(*) n FROM r GROUP BY ALL")
 def tree_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each tag, edge, path and indexed path occurs in the orders' document trees."""
-    trees = N.trees(order_documents(spark, sf_dir), "id", "json")
-    return C.features(trees).groupBy("kind", "feature").agg(F.count("*").alias("n"))
+    return C.feature_counts(order_documents(spark, sf_dir), "json", N.read_texts("json"))
 
 
 @query()
 def page_tree_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of the pages' tag trees."""
-    return C.features(N.trees(table(spark, sf_dir, "pages"), "page_id", "html", "markup")).groupBy("kind", "feature").agg(F.count("*").alias("n"))
+    return C.feature_counts(table(spark, sf_dir, "pages"), "html", N.read_texts("markup"))
 
 
 @query(f"WITH {_NODES}, m AS (SELECT id, count(*) nodes, max(len(path)) height, count_if(kind <> 'dict') leaves FROM n GROUP BY 1) SELECT id, nodes, height::BIGINT height, leaves FROM m")
