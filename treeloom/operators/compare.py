@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import saved
 from . import weighted as W
-from .nested import Tree, read_nodes
+from .nested import Tree, node_column, read_nodes
 from .pairs import batched, by_shape, column, spread
 from .shaped import Forests, Subtrees, Values, groups, worker_subtrees
 from .trees import tree_distance
@@ -576,24 +576,39 @@ def inclusions(patterns: DataFrame, trees: DataFrame, values: bool = False) -> D
     met = key.join(index, "path").groupBy("a_id", "b_id").agg(F.collect_set("node").alias("nodes"))
     met = met.join(some_p.select(F.col("key").alias("a_id"), F.col("shape").alias("p")), "a_id").join(some_t.select(F.col("key").alias("b_id"), F.col("shape").alias("t")), "b_id")
     found = spread(met).select("a_id", "b_id", matched("p", "t", "nodes").alias("nodes")).filter("size(nodes) > 0")
-    ids = found.join(p.select(F.col("key").alias("a_id"), F.col("id").alias("pattern_id")), "a_id").join(t.select(F.col("key").alias("b_id"), "id"), "b_id")
-    return ids.select("pattern_id", "id", "nodes")
+    found = found.join(_id_lists(p, "a_id", "pattern_id"), "a_id").join(_id_lists(t, "b_id", "id"), "b_id")
+    # pairs of lists are dealt out; single pairs are made where they are written, as there may be as many as rows squared
+    n = 2 * max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), p.sparkSession.sparkContext.defaultParallelism)
+    found = found.repartition(n, "a_id", "b_id", "pattern_id_part", "id_part")
+    return found.select(F.explode("pattern_id").alias("pattern_id"), "id", "nodes").select("pattern_id", F.explode("id").alias("id"), "nodes")
+
+
+#: Ids of a list that _id_lists makes, about.
+LISTED = 1000
+
+
+def _id_lists(shaped: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name, name_part) of (id, key): the ids of each key as lists of bounded length, so that a key that many have meets no join row by row."""
+    parts = shaped.groupBy("key").agg(F.ceil(F.count("*") / LISTED).alias("parts"))
+    rows = shaped.select("id", "key").join(parts, "key").select(F.col("key").alias(key), "id", F.pmod(F.xxhash64("id"), "parts").alias(f"{name}_part"))
+    return rows.groupBy(key, f"{name}_part").agg(F.collect_list("id").alias(name))
 
 
 def subtrees(trees: DataFrame, label: str) -> DataFrame:
     """(id, tree): of each tree the first subtree whose root has the label; trees without one have no row."""
 
-    @F.pandas_udf(f"array<{W.NODE}>")
-    def cut(column: pd.Series) -> pd.Series:
-        out = []
-        for nodes in column:
-            t = Tree.of(nodes)
+    @F.arrow_udf(f"array<{W.NODE}>")
+    def cut(nodes: pa.Array) -> pa.Array:
+        out: list[Tree | None] = []
+        for t in read_nodes(nodes):
             at = next((i for i in t.preorder() if t.labels[i] == label), None)
             if at is None:
                 out.append(None)
                 continue
-            first, rows = t.left[at], t.rows()
-            out.append([r | {"left": r["left"] - first, "depth": r["depth"] - t.depths[at]} for r in rows[first : at + 1]])
-        return pd.Series(out)
+            first = t.left[at]
+            own = Tree(*(getattr(t, f)[first : at + 1] for f in ("labels", "kinds", "numbers", "texts", "items", "depths", "left")))
+            own.depths, own.left = [d - t.depths[at] for d in own.depths], [x - first for x in own.left]
+            out.append(own)
+        return node_column(out)
 
     return trees.select("id", cut("tree").alias("tree")).filter("tree is not null")
