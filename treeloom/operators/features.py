@@ -6,9 +6,13 @@ side has enters through totals per document, so no join grows beyond the feature
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import adjacent, batched, column
+
 
 def counts(rows: DataFrame, id_col: str, feature: str) -> DataFrame:
     return rows.groupBy(F.col(id_col).alias("id"), F.col(feature).alias("feature")).agg(F.count("*").alias("tf"))
@@ -36,6 +40,45 @@ def shared(tf: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a_id", "b_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names])
 
 
+def shared_words(docs: DataFrame) -> DataFrame:
+    """shared of each row of (id, words) and the one whose id is one more: words are counted where they are, pairs meet as rows of counts. Ids are unique."""
+
+    @F.arrow_udf("struct<word:array<string>,tf:array<long>>")
+    def counted(words: pa.Array) -> pa.Array:
+        known = words.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(words)), np.nan_to_num(words.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
+        size = max(len(known.dictionary), 1)
+        key, times = np.unique(row * np.int64(size) + known.indices.to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(key, np.arange(len(words) + 1) * np.int64(size)), pa.int32())
+        word = pa.ListArray.from_arrays(ends, known.dictionary.take(pa.array(key % size)))
+        return pa.StructArray.from_arrays([word, pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))], ["word", "tf"])
+
+    def measured(t: pa.Table) -> dict:
+        n, out, sides = t.num_rows, {}, [column(t, s) for s in "ab"]
+        words = [side.field("word") for side in sides]
+        known = pa.concat_arrays([w.flatten() for w in words]).dictionary_encode()
+        size, cut = max(len(known.dictionary), 1), len(words[0].flatten())
+        total = lambda row, values: np.bincount(row, values, n).astype(np.int64)
+        keys, tfs = [], []
+        for name, side, word, codes in zip("ab", sides, words, (known.indices[:cut], known.indices[cut:]), strict=True):
+            row, tf = np.repeat(np.arange(n), word.value_lengths().to_numpy()), side.field("tf").flatten().to_numpy()
+            out |= {f"n_{name}": total(row, None), f"s_{name}": total(row, tf), f"q_{name}": total(row, tf * tf)}
+            keys.append(row * np.int64(size) + codes.to_numpy())
+            tfs.append(tf)
+        both, x, y = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+        row, x, y = both // size, tfs[0][x], tfs[1][y]
+        out |= {"common": total(row, None), "low": total(row, np.minimum(x, y)), "dot": total(row, x * y), "gap": total(row, np.abs(x - y)), "met": total(row, x + y)}
+        return {"a_id": column(t, "a_id"), "b_id": column(t, "b_id")} | {k: out[k] for k in SHARED}
+
+    pairs = adjacent(docs.select("id", counted("words").alias("counts")), "id", "counts")
+    kind = pairs.schema["a_id"].dataType.simpleString()
+    return batched(pairs, measured, f"a_id {kind}, b_id {kind}, " + ", ".join(f"{k} long" for k in SHARED))
+
+
+#: What is summed up of a pair: different words, words and squares of either side, then of those that both have.
+SHARED = ("n_a", "s_a", "q_a", "n_b", "s_b", "q_b", "common", "low", "dot", "gap", "met")
+
+
 def _over(top, bottom, empty: float):
     return F.when(bottom == 0, F.lit(empty)).otherwise(top / bottom)
 

@@ -41,7 +41,11 @@ def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "documents").select("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    ids = docs.select("doc_id")
+    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return M.shared_words(docs.select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words")))
+    # words of rows of one id count together
     pairs = ids.select(F.col("doc_id").alias("a_id")).join(ids.select(F.col("doc_id").alias("b_id")), F.col("b_id") == F.col("a_id") + 1)
     return M.shared(_tf(spark, sf_dir), pairs)
 
